@@ -1,60 +1,15 @@
-"""Helpers shared by the training-data operators: scratch tables in the shared folder, hashing on byte buffers."""
+"""Helpers shared by the training-data operators: keys, byte buffers, hashing."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
-_SCRATCH: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset (tests), one temporary folder."""
-    set_to = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if set_to:
-        return set_to
-    have = spark.sparkContext.getCheckpointDir()
-    if have is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="nearfield-"))
-        have = spark.sparkContext.getCheckpointDir()
-    return have
-
-
-def scratch_path(spark: SparkSession, what: str) -> str:
-    path = f"{shared_dir(spark).rstrip('/')}/nearfield/{what}-{uuid.uuid4().hex}"
-    _SCRATCH.append((spark, path))
-    return path
-
-
-def cut(df: DataFrame, what: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends here and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, what)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
+from nearfield.plans.scratch import cut, scratch_path
 
-@atexit.register
-def cleanup() -> None:
-    """Remove this process's scratch tables; results that still read them must be written before."""
-    while _SCRATCH:
-        spark, path = _SCRATCH.pop()
-        try:
-            remove(spark, path)
-        except Exception:  # noqa: BLE001  the session may be gone
-            return
+__all__ = ["ascii_lower", "cut", "held_out", "mix64", "scratch_path", "sub_batches", "text_buffer"]
 
 
 def ascii_lower(column):
@@ -92,7 +47,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def sub_batches(batch: pa.RecordBatch, column: str, most_bytes: int):
     """Slices of the batch whose texts hold at most most_bytes together (one row at least)."""
-    sizes = np.asarray(pa.compute.binary_length(batch.column(column).cast(pa.large_binary())).fill_null(0))
+    sizes = np.asarray(pc.binary_length(batch.column(column).cast(pa.large_binary())).fill_null(0))
     ends = np.cumsum(sizes)
     at = 0
     while at < len(sizes):

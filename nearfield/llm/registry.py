@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from nearfield.llm import exact_dedup, near_dedup, packing, sharding
+from nearfield.llm import decontaminate, exact_dedup, html_extract, langid, line_dedup, near_dedup, packing, quality_pu, sharding, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,6 +16,14 @@ def op1_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_read(spark, sf_dir, "documents"), shards=16)
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_read(spark, sf_dir, "pages"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.label(_read(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_documents(_read(spark, sf_dir, "documents"))
 
@@ -23,11 +32,44 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
+def op6_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_pu.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.measure(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op8_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_read(spark, sf_dir, "pages"))
+
+
+def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_dropped, text_sha256 of the text that is left (null: empty), kept (something is left, or nothing went)."""
+    rows = line_dedup.dedup_lines(_read(spark, sf_dir, "documents"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(text.cast("binary"), 256).alias("text_sha256"), ((F.col("n_dropped") == 0) | (F.trim(text) != "")).alias("kept"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"), width=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_rendezvous_sharding, op4_exact_dedup, op5_packing, op10_minhash_near_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_rendezvous_sharding,
+        op2_html_extraction,
+        op3_language_id,
+        op4_exact_dedup,
+        op5_packing,
+        op6_quality_pu,
+        op7_decontamination,
+        op8_warc_transactions,
+        op9_line_templates,
+        op10_minhash_near_dedup,
+    )
+}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -72,4 +114,55 @@ reached AS (
   UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, component_id = d.doc_id AS kept
 FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY 1) USING (doc_id)""",
+    "op7_decontamination": rf"""
+WITH item_words AS (
+  SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+item_windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS k,
+    unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2), lambda i: array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) AS s
+  FROM item_words WHERE len(w) > 0),
+words AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+places AS (
+  SELECT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: {{'i': i, 's': array_to_string(w[i:i + k - 1], ' ')}})) AS p
+  FROM words, (SELECT DISTINCT k FROM item_windows) WHERE len(w) >= k),
+hits AS (SELECT doc_id, p.i AS i, places.k AS k, item_id FROM places JOIN item_windows v ON v.k = places.k AND v.s = p.s),
+covered AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS at FROM hits) GROUP BY 1),
+named AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coalesce(m.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
+FROM words LEFT JOIN covered c USING (doc_id) LEFT JOIN named m USING (doc_id)""",
+    "op8_warc_transactions": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha256(h) AS payload_digest,
+  CASE WHEN strlen(h) >= 100 THEN min(page_id) OVER (PARTITION BY h) ELSE page_id END AS origin FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN origin = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN origin <> page_id THEN origin END AS refers_to
+FROM d""",
+    "op9_line_templates": r"""
+WITH split AS (SELECT doc_id, coalesce(text, '') AS text, string_split(text, chr(10)) AS ls FROM documents),
+lines AS (
+  SELECT doc_id, pos, regexp_replace(regexp_replace(trim(regexp_replace(ls[pos], '[\t\x0B\f\r]', ' ', 'g')), ' +', ' ', 'g'),
+    '[^ 0-9]*[0-9][^ ]*', '<*>', 'g') AS masked
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS pos FROM split)),
+l AS (SELECT *, string_split(masked, ' ') AS t FROM lines),
+paths AS (SELECT *, len(t) || '/' || array_to_string(t[1:3], ' ') AS leaf FROM l WHERE len(t) >= 3),
+same AS (SELECT masked FROM paths GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2),
+rest AS (SELECT * FROM paths WHERE masked NOT IN (SELECT masked FROM same)),
+leaves AS (SELECT leaf FROM rest GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2),
+tokens AS (SELECT doc_id, pos, leaf, k, t[k] AS token FROM (SELECT *, unnest(range(1, len(t) + 1)) AS k FROM rest WHERE leaf IN (SELECT leaf FROM leaves))),
+steady AS (SELECT leaf, k, token FROM tokens GROUP BY 1, 2, 3 HAVING count(DISTINCT doc_id) >= 2),
+general AS (
+  SELECT doc_id, pos, leaf || '/' || string_agg(coalesce(s.token, '<*>'), ' ' ORDER BY k) AS template
+  FROM tokens LEFT JOIN steady s USING (leaf, k, token) GROUP BY doc_id, pos, leaf HAVING avg((s.token IS NOT NULL)::INT) >= 0.8),
+found AS (
+  SELECT doc_id, pos, masked AS template FROM paths WHERE masked IN (SELECT masked FROM same)
+  UNION ALL SELECT doc_id, pos, 'general/' || template FROM general WHERE template IN (SELECT template FROM general GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2)),
+late AS (SELECT doc_id, pos FROM found QUALIFY row_number() OVER (PARTITION BY template ORDER BY doc_id, pos) > 1),
+gone AS (SELECT doc_id, list(pos) AS places FROM late GROUP BY 1),
+cut AS (
+  SELECT doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(places), 0)::BIGINT AS n_dropped,
+    CASE WHEN places IS NULL THEN text ELSE coalesce(array_to_string(list_filter(ls, lambda x, i: NOT list_contains(places, i)), chr(10)), '') END AS kept_text
+  FROM split LEFT JOIN gone USING (doc_id))
+SELECT doc_id, n_lines, n_dropped, sha256(kept_text) AS text_sha256, n_dropped = 0 OR trim(kept_text) <> '' AS kept FROM cut""",
 }
