@@ -36,7 +36,7 @@ def norm(a: Column) -> Column:
 def cosine_distance(a: Column, b: Column) -> Column:
     """1 - cos; 1 where a vector is zero."""
     scale = norm(a) * norm(b)
-    return F.when(scale == 0, F.lit(1.0)).otherwise(1 - ip(a, b) / scale)
+    return F.when(scale == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - ip(a, b) / scale))
 
 
 def partial_l2sq(a: Column, b: Column, start: int, dims: int) -> Column:
@@ -88,6 +88,6 @@ def register(spark: SparkSession) -> None:
         "l1": total % (pair % "abs(CAST(x AS DOUBLE) - y)"),
     }
     size = lambda v: f"sqrt({total % f'transform({v}, x -> CAST(x AS DOUBLE) * x)'})"
-    bodies["cosine_distance"] = f"CASE WHEN {size('a')} * {size('b')} = 0 THEN 1D ELSE 1 - {bodies['ip']} / ({size('a')} * {size('b')}) END"
+    bodies["cosine_distance"] = f"CASE WHEN {size('a')} * {size('b')} = 0 THEN 1D ELSE greatest(0D, 1 - {bodies['ip']} / ({size('a')} * {size('b')})) END"
     for name, body in bodies.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN {body}")

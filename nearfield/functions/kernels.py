@@ -35,7 +35,7 @@ def pairwise(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
     qq, xx = (q * q).sum(axis=1), (x * x).sum(axis=1)
     if metric == "cosine":
         scale = np.sqrt(qq)[:, None] * np.sqrt(xx)
-        return np.where(scale == 0, 1.0, 1 - product / np.where(scale == 0, 1, scale))
+        return np.where(scale == 0, 1.0, np.maximum(1 - product / np.where(scale == 0, 1, scale), 0.0))
     return np.maximum(qq[:, None] + xx - 2 * product, 0)
 
 

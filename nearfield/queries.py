@@ -56,7 +56,7 @@ _L2 = "list_sum(list_transform(range(1, 65), lambda i: pow(q[i]::DOUBLE - v[i]::
 _IP = "list_sum(list_transform(range(1, 65), lambda i: q[i]::DOUBLE * v[i]::DOUBLE))"
 _L1 = "list_sum(list_transform(range(1, 65), lambda i: abs(q[i]::DOUBLE - v[i]::DOUBLE)))"
 _NORM = "sqrt(list_sum(list_transform({0}, lambda x: x::DOUBLE * x::DOUBLE)))"
-_COS = f"CASE WHEN {_NORM.format('q')} * {_NORM.format('v')} = 0 THEN 1.0 ELSE 1 - {_IP} / ({_NORM.format('q')} * {_NORM.format('v')}) END"
+_COS = f"CASE WHEN {_NORM.format('q')} * {_NORM.format('v')} = 0 THEN 1.0 ELSE greatest(0.0::DOUBLE, 1 - {_IP} / ({_NORM.format('q')} * {_NORM.format('v')})) END"
 _SCALED = "SELECT vec_id, list_transform(embedding, lambda x: x * (1 + vec_id % 7)::FLOAT) AS embedding, label FROM embeddings"
 
 
