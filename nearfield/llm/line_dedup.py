@@ -2,14 +2,15 @@
 
 A line's path in the tree is its number of tokens and its first DEPTH tokens, tokens with a digit standing for one variable
 field. A line's template is
-  - the line with those fields masked, where that recurs across documents as it is; otherwise,
-  - among the lines of its leaf, the line with every token masked that does not recur at its place across documents, where at
-    least SIMILAR of the tokens remain.
-Lines whose template occurs in MIN_DOCS documents or more are dropped, but for the first: that of the least (doc_id, place).
+  - the line with those fields masked, where that occurs in another document as it is; otherwise,
+  - among the lines of its leaf, the line with every token masked that no other document has at its place, where at least
+    SIMILAR of the tokens remain.
+Lines whose template occurs in two documents or more are dropped, but for the first: that of the least (doc_id, place).
 So what many documents share is kept once, and a document that stands alone loses nothing.
 
-Rules that read the corpus (which lines, leaves and tokens recur) are sums over (key, document) pairs, taken partially
-before the shuffle; no leaf is ever collected. Keys are 64-bit hashes; lines travel only where their leaf recurs.
+What occurs in two documents is told by the least and greatest document key of each line, leaf and token, taken partially
+before the shuffle; no leaf is ever collected. Keys are 64-bit hashes. Rows are kept from shuffles by bitmaps of fixed size
+where they surely have no partner: the text of a line moves only if its leaf recurs, that of a document only if it loses a line.
 
 Defined cases: null text stays null; lines with fewer tokens than DEPTH have no path and stay; white space beside a line is
 not part of its tokens but stays in kept lines; a document is known by doc_id and text, so repeated rows are one document
@@ -22,66 +23,73 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import cut
+from nearfield.llm.membership import Membership
 
 DEPTH = 3
 SIMILAR = 0.8
-MIN_DOCS = 2
 FIELD = "<*>"
 
 
-def tokens(line: Column) -> Column:
-    """Tokens of a line; those with an ASCII digit become the field mark."""
-    plain = F.trim(F.regexp_replace(line, r"[\t\x0B\f\r]", " "))
-    plain = F.when(F.instr(plain, "  ") > 0, F.regexp_replace(plain, " +", " ")).otherwise(plain)
-    masked = F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"[^ 0-9]*+[0-9][^ ]*+", FIELD)).otherwise(plain)
-    return F.split(masked, " ")
+def masked(line: Column) -> Column:
+    """A line with single spaces between its tokens, and the field mark in place of tokens with an ASCII digit."""
+    odd = F.lit(False)
+    for c in "\t\x0b\f\r":
+        odd = odd | F.contains(line, F.lit(c))
+    plain = F.trim(F.when(odd, F.regexp_replace(line, r"[\t\x0B\f\r]", " ")).otherwise(line))
+    plain = F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(plain, " +", " ")).otherwise(plain)
+    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"[^ 0-9]*+[0-9][^ ]*+", FIELD)).otherwise(plain)
 
 
-def _recurring(rows: DataFrame, *keys: str) -> DataFrame:
-    """keys that occur in MIN_DOCS documents or more."""
-    return rows.select(*keys, "doc_id", "text_hash").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("_docs")).filter(F.col("_docs") >= MIN_DOCS).drop("_docs")
+def _recurring(rows: DataFrame, key: str) -> DataFrame:
+    """Values of a key that two documents or more have."""
+    return rows.groupBy(key).agg(F.min("doc").alias("_a"), F.max("doc").alias("_z")).filter("_a <> _z").select(key)
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, places): the places (from 0) of the lines to drop, for documents that have any."""
+    """(doc_id, text_hash, doc, places): the places (from 0) of the lines to drop, for documents that have any."""
     lines = docs.filter("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
-    lines = lines.select("doc_id", "text_hash", "place", tokens(F.col("line")).alias("t")).filter(F.size("t") >= DEPTH)
-    lines = lines.select("doc_id", "text_hash", "place", F.xxhash64("t").alias("line"), F.xxhash64(F.size("t"), *[F.get("t", F.lit(i)) for i in range(DEPTH)]).alias("leaf"), F.array_join("t", " ").alias("masked"))
-    lines = cut(lines, "lines")
-    narrow = lines.select("doc_id", "text_hash", "place", "line", "leaf")
-    same = cut(_recurring(narrow, "line"), "recurring")
-    exact = narrow.join(same, "line", "left_semi").select("doc_id", "text_hash", "place", F.col("line").alias("template"))
-    rest = narrow.join(same, "line", "left_anti")
-    leaves = _recurring(rest, "leaf")
-    open_lines = lines.select("line", "leaf", "doc_id", "text_hash", "place", "masked").join(leaves, "leaf", "left_semi").join(same, "line", "left_anti")
-    open_lines = cut(open_lines, "leaves")
-    token = open_lines.select("doc_id", "text_hash", "place", "line", "leaf", F.posexplode(F.split("masked", " ")).alias("at", "token"))
-    token = token.withColumn("token_hash", F.xxhash64("token"))
-    steady = _recurring(token, "leaf", "at", "token_hash").withColumn("steady", F.lit(True))
-    marked = token.join(steady, ["leaf", "at", "token_hash"], "left")
-    shown = F.when(F.col("steady"), F.col("token_hash")).otherwise(F.lit(0))
-    made = marked.groupBy("doc_id", "text_hash", "place", "leaf").agg(
-        F.avg(F.col("steady").isNotNull().cast("double")).alias("share"),
-        # the order of tokens is in the hashes of (place, token), so their sum is a key of the template
-        F.sum(F.xxhash64("at", shown).cast("decimal(20,0)")).alias("sum"),
-    )
-    similar = made.filter(F.col("share") >= SIMILAR).select("doc_id", "text_hash", "place", F.xxhash64("leaf", F.col("sum").cast("string")).alias("template"))
-    general = similar.join(_recurring(similar, "template"), "template", "left_semi").select("doc_id", "text_hash", "place", "template")
+    lines = lines.select("doc_id", "text_hash", "place", masked(F.col("line")).alias("masked"))
+    n = F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
+    lines = lines.select("doc_id", "text_hash", F.xxhash64("doc_id", "text_hash").alias("doc"), "place", "masked", n.alias("n")).filter(F.col("n") >= DEPTH)
+    lines = cut(lines.select("doc_id", "text_hash", "doc", "place", F.xxhash64("masked").alias("line"), F.xxhash64("n", F.substring_index("masked", " ", DEPTH)).alias("leaf"), "masked"), "lines")
+    narrow = ["doc_id", "text_hash", "doc", "place"]
+
+    same = cut(_recurring(lines, "line"), "recurring")
+    maybe = Membership(same, "line").may_hold(F.col("line"))
+    exact = lines.filter(maybe).join(same, "line", "left_semi").select(*narrow, F.col("line").alias("template"))
+
+    rest = lines.filter(~maybe).select("doc", "leaf", "line").union(lines.filter(maybe).join(same, "line", "left_anti").select("doc", "leaf", "line"))
+    leaves = cut(_recurring(rest, "leaf"), "leaves")
+    held = lines.filter(Membership(leaves, "leaf").may_hold(F.col("leaf"))).join(leaves, "leaf", "left_semi").join(same, "line", "left_anti")
+    held = cut(held.select(*narrow, "leaf", "masked").withColumn("id", F.monotonically_increasing_id()), "open")
+    token = held.select("id", "doc", "leaf", F.posexplode(F.split("masked", " ")).alias("at", "token"))
+    token = token.select("id", "doc", F.xxhash64("leaf", "at", "token").alias("token"), F.xxhash64("at").alias("blank"))
+    steady = _recurring(token, "token").withColumn("steady", F.lit(True))
+    shown = token.select("id", "token", "blank").join(steady, "token", "left")
+    # a token's hash has its place, so the sum of what is shown is a key of the template
+    part = F.when(F.col("steady"), F.col("token")).otherwise(F.col("blank"))
+    made = shown.groupBy("id").agg(F.avg(F.col("steady").isNotNull().cast("double")).alias("share"), F.sum(part.cast("decimal(20,0)")).alias("sum"))
+    similar = made.filter(F.col("share") >= SIMILAR).join(held.select("id", "leaf", *narrow), "id")
+    similar = cut(similar.select(*narrow, F.xxhash64("leaf", F.col("sum").cast("string")).alias("template")), "similar")
+    general = similar.join(_recurring(similar, "template"), "template", "left_semi").select(*narrow, "template")
+
     found = exact.union(general)
-    at = F.struct("doc_id", "text_hash", "place")
-    first = found.groupBy("template").agg(F.min(at).alias("first"))
-    late = found.join(first, "template").filter(~at.eqNullSafe(F.col("first")))
-    return late.groupBy("doc_id", "text_hash").agg(F.collect_set("place").alias("places"))
+    place = F.struct("doc_id", "text_hash", "place")
+    first = found.groupBy("template").agg(F.min(place).alias("first"))
+    late = found.join(first, "template").filter(~place.eqNullSafe(F.col("first")))
+    return late.groupBy("doc_id", "text_hash", "doc").agg(F.collect_set("place").alias("places"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with their late recurring lines cut out of text, and n_lines, n_dropped. Order of lines and columns is kept."""
-    places = dropped_lines(docs).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("places").alias("_places"))
-    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    both = keyed.join(places, keyed["doc_id"].eqNullSafe(places["_id"]) & (keyed["_text_hash"] == places["_hash"]), "left")
+    places = cut(dropped_lines(docs), "dropped").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("doc").alias("_doc_of"), F.col("places").alias("_places"))
+    keyed = docs.withColumn("_text_hash", F.xxhash64("text")).withColumn("_doc", F.xxhash64("doc_id", "_text_hash"))
+    loses = Membership(places, "_doc_of").may_hold(F.col("_doc"))
+    some = keyed.filter(loses).join(places.hint("shuffle_hash"), (F.col("_doc") == F.col("_doc_of")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
     lines = F.split("text", "\n", -1)
     n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
     kept = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("_places", i), x)), lambda x: x.isNotNull()), "\n")
     text = F.when(F.col("_places").isNull(), F.col("text")).otherwise(kept)
     own = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    return both.select(*own, text.alias("text"), n_lines.alias("n_lines"), F.coalesce(F.size("_places"), F.lit(0)).cast("long").alias("n_dropped"))
+    none = keyed.filter(~loses).select(*own, "text", n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
+    return none.union(some.select(*own, text.alias("text"), n_lines.alias("n_lines"), F.coalesce(F.size("_places"), F.lit(0)).cast("long").alias("n_dropped")))
