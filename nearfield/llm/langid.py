@@ -27,7 +27,8 @@ from nearfield.llm.common import held_out
 
 RANKS = 300
 GRAMS = 64 * 64 * 64
-MOST_DOCS = 1500
+#: Not above the limit (1,000 by default) up to which Spark cuts the rows of a ranking before its shuffle.
+MOST_DOCS = 1000
 
 
 def _letter_codes() -> np.ndarray:
