@@ -48,6 +48,10 @@ class VectorIndex:
         rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{name}/v{version}")
         self.meta["versions"][name] = version
 
+    def _append(self, name: str, rows: DataFrame) -> None:
+        """Add rows to the version in use; what is there is neither read nor written."""
+        rows.write.mode("append").option("compression", "zstd").parquet(f"{self.path}/{name}/v{self.meta['versions'][name]}")
+
     def _commit(self) -> None:
         text = json.dumps({"config": self.config.as_dict(), **self.meta})
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
@@ -60,8 +64,10 @@ class VectorIndex:
 
     @property
     def postings(self) -> DataFrame:
-        """Live rows: cluster_id, vec_id and embedding or code."""
+        """Live rows: cluster_id, vec_id and embedding or code. Rows of clusters that maintenance replaced are left out."""
         rows = self._table("postings")
+        if self.meta["has_retired"]:
+            rows = rows.join(F.broadcast(self.centroids.select("cluster_id")), "cluster_id", "left_semi")
         return rows.join(self._table("deletes"), "vec_id", "left_anti") if self.meta["has_deletes"] else rows
 
     @property
@@ -212,7 +218,7 @@ class VectorIndex:
 
     def save(self, path: str) -> VectorIndex:
         """Copy the index, with compaction of deletes, to a folder."""
-        out = VectorIndex(self.spark, self.config, path, {"versions": {}, "has_deletes": False, "quantizer": self.meta["quantizer"]})
+        out = VectorIndex(self.spark, self.config, path, {**self.meta, "versions": {}, "has_deletes": False, "has_retired": False})
         for name in self.meta["versions"]:
             out._write(name, self._table(name).limit(0) if name == "deletes" else self.postings if name == "postings" else self._table(name))
         out._commit()
@@ -278,12 +284,12 @@ def encode(rows: DataFrame, quantizer: Quantizer | None) -> DataFrame:
 
 
 def centroid_frame(spark: SparkSession, ids, meso, centroids: np.ndarray, made_with) -> DataFrame:
-    rows = [(int(i), int(m), [float(x) for x in c], int(n)) for i, m, c, n in zip(ids, meso, centroids, made_with, strict=True)]
-    return spark.createDataFrame(rows, "cluster_id long, meso_id long, centroid array<float>, made_with long")
+    columns = {"cluster_id": ids, "meso_id": meso, "centroid": np.asarray(centroids), "made_with": made_with}
+    return spark.createDataFrame(pa.table({k: K.lists(v, pa.float32()) if k == "centroid" else pa.array([int(x) for x in v], pa.int64()) for k, v in columns.items()}))
 
 
 def meso_frame(spark: SparkSession, centroids: np.ndarray) -> DataFrame:
-    return spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centroids)], "meso_id long, centroid array<float>")
+    return spark.createDataFrame(pa.table({"meso_id": pa.array(range(len(centroids)), pa.int64()), "centroid": K.lists(np.asarray(centroids), pa.float32())}))
 
 
 def group_centroids(centroids: np.ndarray, config: IndexConfig, groups: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -306,7 +312,7 @@ def build(vectors: DataFrame, config: IndexConfig, path: str | None = None) -> V
     quantizer = Quantizer.fit(prepared) if config.quantized else None
     centroids = train_centroids(prepared, config, rows, clusters)
     ids = np.arange(len(centroids))
-    index = VectorIndex(spark, config, path, {"versions": {}, "has_deletes": False, "quantizer": [quantizer.base, quantizer.scale] if quantizer else None})
+    index = VectorIndex(spark, config, path, {"versions": {}, "has_deletes": False, "has_retired": False, "next_cluster": len(ids), "quantizer": [quantizer.base, quantizer.scale] if quantizer else None})
     placed = encode(assign(prepared, ids, centroids), quantizer)
     index._write("postings", placed.repartitionByRange("cluster_id", "vec_id").sortWithinPartitions("cluster_id", "vec_id"))
     sizes = {r["cluster_id"]: r["n"] for r in index._table("postings").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -1,8 +1,9 @@
 """Maintenance of an index: append, delete, compact, split, merge.
 
-Changes come in batches. Appends add Parquet rows, deletes add ids that searches leave out; rebalance() rewrites only the rows
-of clusters out of their size limits, in rounds, until all are healthy or the cap of rounds is reached. Clusters out of
-limits are few and small by construction, so each one fits a task; rows never pass through the driver.
+Changes come in batches and only add files. Appends add rows, deletes add ids that searches leave out. rebalance() adds the rows
+of clusters out of their size limits once more, under cluster ids that were never used, and the centroid table no longer
+names the old ones; it works in rounds, until all are healthy or the cap of rounds is reached. compact() alone rewrites the
+postings. Clusters out of limits are few and small by construction, so each one fits a task; rows never pass through the driver.
 """
 
 from __future__ import annotations
@@ -63,8 +64,7 @@ def append(index: VectorIndex, rows: DataFrame, rebalance_after: bool = True) ->
     if rows.join(index._table("postings").select("vec_id"), "vec_id", "left_semi").limit(1).count():
         raise ValueError("an id is in the index")
     placed = encode(_nearest_clusters(index, prepare(rows, index.config), index.config.append_probe_fraction), index.quantizer)
-    index._write("postings", index._table("postings").unionByName(placed))
-    index._commit()
+    index._append("postings", placed)
     if rebalance_after:
         rebalance(index)
 
@@ -75,7 +75,7 @@ def delete(index: VectorIndex, row_ids: DataFrame, missing: str = "error", rebal
     live = index.postings.select("vec_id")
     if missing != "ignore" and ids.join(live, "vec_id", "left_anti").limit(1).count():
         raise ValueError("an id is not in the index")
-    index._write("deletes", index._table("deletes").union(ids.join(live, "vec_id", "left_semi")))
+    index._append("deletes", ids.join(live, "vec_id", "left_semi"))
     index.meta["has_deletes"] = True
     index._commit()
     if rebalance_after:
@@ -83,11 +83,11 @@ def delete(index: VectorIndex, row_ids: DataFrame, missing: str = "error", rebal
 
 
 def compact(index: VectorIndex) -> None:
-    """Rewrite the postings without deleted rows."""
+    """Rewrite the postings without deleted rows and replaced clusters."""
     rows = index.postings
     index._write("postings", rows.repartitionByRange("cluster_id", "vec_id").sortWithinPartitions("cluster_id", "vec_id"))
     index._write("deletes", index._table("deletes").limit(0))
-    index.meta["has_deletes"] = False
+    index.meta |= {"has_deletes": False, "has_retired": False}
     index._commit()
 
 
@@ -101,17 +101,21 @@ def health(index: VectorIndex) -> DataFrame:
 
 
 def _rewrite(index: VectorIndex, old: list[int], moved: DataFrame, ids: np.ndarray, meso: np.ndarray, centroids: np.ndarray) -> None:
-    """Replace the rows of clusters `old` by `moved`, and the centroid table by what is given."""
-    kept = index.postings.filter(~F.col("cluster_id").isin(old))
-    rows = cut(kept.unionByName(encode(moved, index.quantizer)), "postings")
-    sizes = {r["cluster_id"]: r["n"] for r in rows.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    """Put `moved`, all live rows of clusters `old`, in their place. ids, meso, centroids are the clusters from now on; those
+    of `old` and new ones get fresh ids, others keep theirs and may gain rows."""
+    moved = cut(moved, "moved")
+    gained = {r["cluster_id"]: r["n"] for r in moved.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).collect()}
     before = {r["cluster_id"]: r["made_with"] for r in index.centroids.select("cluster_id", "made_with").collect()}
-    touched = set(old)
-    made = [sizes.get(int(i), 0) if int(i) in touched or int(i) not in before else before[int(i)] for i in ids]
-    index._write("postings", rows.repartitionByRange("cluster_id", "vec_id").sortWithinPartitions("cluster_id", "vec_id"))
-    index._write("deletes", index._table("deletes").limit(0))
-    index._write("centroids", cut(centroid_frame(index.spark, ids, meso, centroids, made), "centroids"))
-    index.meta["has_deletes"] = False
+    kept = set(before) - set(old)
+    fresh = {int(i): index.meta["next_cluster"] + k for k, i in enumerate(i for i in ids if int(i) not in kept)}
+    names = index.spark.createDataFrame([*fresh.items()] or [(-1, -1)], "cluster_id long, fresh long")
+    renamed = moved.join(F.broadcast(names), "cluster_id", "left").select(F.coalesce("fresh", "cluster_id").alias("cluster_id"), "vec_id", "embedding")
+    index._append("postings", encode(renamed, index.quantizer))
+    index.meta["next_cluster"] += len(fresh)
+    index.meta["has_retired"] = True
+    out_ids = [fresh.get(int(i), int(i)) for i in ids]
+    made = [before[int(i)] if int(i) in kept else gained.get(int(i), 0) for i in ids]
+    index._write("centroids", centroid_frame(index.spark, out_ids, meso, centroids, made))
     index._commit()
 
 
@@ -121,7 +125,7 @@ def split(index: VectorIndex, cluster_ids: list[int]) -> None:
     ids, centroids, meso = index.centroid_arrays()
     iters, seed, angular = SPLIT_ITERS, index.config.seed, index.config.normalizes
 
-    def halve(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def halve(key, rows):
         data = np.stack(rows["embedding"].to_numpy()).astype(np.float32)
         order = np.argsort(rows["vec_id"].to_numpy(), kind="stable")
         two = K.kmeans(data[order], 2, iters, seed, angular)
