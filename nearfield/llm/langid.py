@@ -5,8 +5,8 @@ is compared with every language's profile: each of its own RANKS most frequent n
 or RANKS where the profile lacks it; the least sum wins. The score is the share of the greatest sum that the winner avoids.
 
 Letters are lower-cased and folded to 63 codes: a to z by themselves, others by code point. N-grams of a text are counted in
-one vectorised pass over the whole text. Profiles are learned from at most `most_docs` documents a language, those of the
-least hash of (id, text length): a bound, not a share, chosen alike at every size. The choice reads ids and languages only.
+one vectorised pass over the whole text. Profiles are learned from about `most_docs` documents a language (all, if it has
+fewer), chosen by a hash of (id, text length): a bound, not a share of the corpus, and one count is all that the choice needs.
 
 Defined cases: null text and text without a letter are `und` with score 0; ties go to the language that sorts first; documents
 without a language are not learned from; where nothing can be learned every document is `und`.
@@ -14,7 +14,7 @@ without a language are not learned from; where nothing can be learned every docu
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -27,7 +27,6 @@ from nearfield.llm.common import held_out
 
 RANKS = 300
 GRAMS = 64 * 64 * 64
-#: Not above the limit (1,000 by default) up to which Spark cuts the rows of a ranking before its shuffle.
 MOST_DOCS = 1000
 
 
@@ -80,13 +79,12 @@ def top_grams(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def learn(docs: DataFrame, most_docs: int = MOST_DOCS) -> dict[str, list[int]]:
     """Profiles by language, from documents that are not held out and have a language."""
-    order = F.xxhash64("doc_id", F.length("text"))
-    known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("_order", order)
-    ranked = known.select("lang", "_order").withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_order")))
-    limits = {r["lang"]: r["_limit"] for r in ranked.filter(F.col("_rank") <= most_docs).groupBy("lang").agg(F.max("_order").alias("_limit")).collect()}
-    if not limits:
+    part = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 20))
+    known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
+    if not sizes:
         return {}
-    chosen = reduce(lambda a, b: a | b, [(F.col("lang") == k) & (F.col("_order") <= v) for k, v in limits.items()])
+    chosen = reduce(lambda a, b: a | b, [(F.col("lang") == k) & (part < math.ceil((1 << 20) * most_docs / n)) for k, n in sizes.items()])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
