@@ -54,7 +54,7 @@ def test_exact_matches_numpy(table, asked):
     assert exact.knn(asked.limit(0), table, 3).count() == 0 and exact.knn(asked, table.limit(0), 3).count() == 0
 
 
-@pytest.mark.parametrize("d", [3, 5, 9, 13, 17, 33, 63])
+@pytest.mark.parametrize("d", [3, 17, 63])
 def test_uncommon_dimensions(spark, table, asked, d):
     cut = lambda df: df.withColumn("embedding", F.slice("embedding", 1, d))
     want = exact.knn(cut(asked), cut(table), 10)
@@ -123,7 +123,7 @@ def test_seeds_and_metrics(table, asked):
     assert evaluate.mean_recall(got, want, 10) > 0.99
 
 
-@pytest.mark.parametrize("n", [1, 2, 5])
+@pytest.mark.parametrize("n", [1, 5])
 def test_tiny_indexes(table, asked, n):
     for kind in TYPES:
         index = I.build(table.filter(F.col("vec_id") < n), IndexConfig(num_dimensions=64, index_type=kind))
