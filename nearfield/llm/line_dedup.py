@@ -73,9 +73,10 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     similar = cut(similar.select(*narrow, F.xxhash64("leaf", F.col("sum").cast("string")).alias("template")), "similar")
     general = similar.join(_recurring(similar, "template"), "template", "left_semi").select(*narrow, "template")
 
-    found = exact.union(general)
+    found = cut(exact.union(general), "found")
     place = F.struct("doc_id", "text_hash", "place")
-    first = found.groupBy("template").agg(F.min(place).alias("first"))
+    # written, so that both sides of the join below are dealt anew and a frequent template can be split
+    first = cut(found.groupBy("template").agg(F.min(place).alias("first")), "first")
     late = found.join(first, "template").filter(~place.eqNullSafe(F.col("first")))
     return late.groupBy("doc_id", "text_hash", "doc").agg(F.collect_set("place").alias("places"))
 
