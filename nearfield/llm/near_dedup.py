@@ -94,7 +94,7 @@ def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
         if n >= width:
             out.append(np.unique(rolled[end - n : end - width + 1]))
         elif n:
-            out.append(mix64(np.array([(words[end - n : end] * _PLACE[:n]).sum() * np.uint64(2) + np.uint64(n)], np.uint64)))
+            out.append(mix64((words[end - n : end] * _PLACE[:n]).sum(keepdims=True) * np.uint64(2) + np.uint64(n)))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
