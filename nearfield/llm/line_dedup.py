@@ -12,6 +12,12 @@ What occurs in two documents is told by the least and greatest document key of e
 before the shuffle; no leaf is ever collected. Keys are 64-bit hashes. Rows are kept from shuffles by bitmaps of fixed size
 where they surely have no partner: the text of a line moves only if its leaf recurs, that of a document only if it loses a line.
 
+dedup_lines(whole=True) decides the variable places relative to the leaf, so that fields stay fields in a corpus of any size:
+all distinct masked lines of a leaf, recurring ones included, are counted, and a token is fixed text at a level of LEVELS where
+more than that share of them have it at its place (at the last level: two). A line takes the template of the first level where
+SIMILAR of its tokens are fixed and two documents share the template, and otherwise itself, where it recurs. A template in a
+small part of its leaf is thus found at a later level. Without `whole` the results are those of the SQL of op9_line_templates.
+
 Defined cases: null text stays null; lines with fewer tokens than DEPTH have no path and stay; white space beside a line is
 not part of its tokens but stays in kept lines; a document is known by doc_id and text, so repeated rows are one document
 and get equal results; rows with null ids come first in order; extra columns are kept.
@@ -28,6 +34,7 @@ from nearfield.llm.membership import Membership
 DEPTH = 3
 SIMILAR = 0.8
 FIELD = "<*>"
+LEVELS = (1 / 2, 1 / 8, 1 / 32, 1 / 128, 1 / 512, 0.0)
 
 
 def masked(line: Column) -> Column:
@@ -45,23 +52,29 @@ def _recurring(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min("doc").alias("_a"), F.max("doc").alias("_z")).filter("_a <> _z").select(key)
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, doc, places): the places (from 0) of the lines to drop, for documents that have any."""
+NARROW = ["doc_id", "text_hash", "doc", "place"]
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, doc, place, line, leaf, masked of the lines that have a path, written."""
     lines = docs.filter("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
     lines = lines.select("doc_id", "text_hash", "place", masked(F.col("line")).alias("masked"))
     n = F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
     lines = lines.select("doc_id", "text_hash", F.xxhash64("doc_id", "text_hash").alias("doc"), "place", "masked", n.alias("n")).filter(F.col("n") >= DEPTH)
-    lines = cut(lines.select("doc_id", "text_hash", "doc", "place", F.xxhash64("masked").alias("line"), F.xxhash64("n", F.substring_index("masked", " ", DEPTH)).alias("leaf"), "masked"), "lines")
-    narrow = ["doc_id", "text_hash", "doc", "place"]
+    return cut(lines.select(*NARROW, F.xxhash64("masked").alias("line"), F.xxhash64("n", F.substring_index("masked", " ", DEPTH)).alias("leaf"), "masked"), "lines")
 
+
+def dropped_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, doc, places): the places (from 0) of the lines to drop, for documents that have any."""
+    lines = _lines(docs)
     same = cut(_recurring(lines, "line"), "recurring")
     maybe = Membership(same, "line").may_hold(F.col("line"))
-    exact = lines.filter(maybe).join(same, "line", "left_semi").select(*narrow, F.col("line").alias("template"))
+    exact = lines.filter(maybe).join(same, "line", "left_semi").select(*NARROW, F.col("line").alias("template"))
 
     rest = lines.filter(~maybe).select("doc", "leaf", "line").union(lines.filter(maybe).join(same, "line", "left_anti").select("doc", "leaf", "line"))
     leaves = cut(_recurring(rest, "leaf"), "leaves")
     held = lines.filter(Membership(leaves, "leaf").may_hold(F.col("leaf"))).join(leaves, "leaf", "left_semi").join(same, "line", "left_anti")
-    held = cut(held.select(*narrow, "leaf", "masked").withColumn("id", F.monotonically_increasing_id()), "open")
+    held = cut(held.select(*NARROW, "leaf", "masked").withColumn("id", F.monotonically_increasing_id()), "open")
     token = held.select("id", "doc", "leaf", F.posexplode(F.split("masked", " ")).alias("at", "token"))
     token = token.select("id", "doc", F.xxhash64("leaf", "at", "token").alias("token"), F.xxhash64("at").alias("blank"))
     steady = _recurring(token, "token").withColumn("steady", F.lit(True))
@@ -69,11 +82,49 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     # a token's hash has its place, so the sum of what is shown is a key of the template
     part = F.when(F.col("steady"), F.col("token")).otherwise(F.col("blank"))
     made = shown.groupBy("id").agg(F.avg(F.col("steady").isNotNull().cast("double")).alias("share"), F.sum(part.cast("decimal(20,0)")).alias("sum"))
-    similar = made.filter(F.col("share") >= SIMILAR).join(held.select("id", "leaf", *narrow), "id")
-    similar = cut(similar.select(*narrow, F.xxhash64("leaf", F.col("sum").cast("string")).alias("template")), "similar")
-    general = similar.join(_recurring(similar, "template"), "template", "left_semi").select(*narrow, "template")
-
-    found = cut(exact.union(general), "found")
+    similar = made.filter(F.col("share") >= SIMILAR).join(held.select("id", "leaf", *NARROW), "id")
+    similar = cut(similar.select(*NARROW, F.xxhash64("leaf", F.col("sum").cast("string")).alias("template")), "similar")
+    general = similar.join(_recurring(similar, "template"), "template", "left_semi").select(*NARROW, "template")
+
+    return _late(exact.union(general))
+
+
+def dropped_lines_whole(docs: DataFrame) -> DataFrame:
+    """As dropped_lines, by templates that are relative to all distinct masked lines of a leaf."""
+    lines = _lines(docs)
+    leaves = cut(_recurring(lines, "leaf"), "leaves")
+    kinds = lines.filter(Membership(leaves, "leaf").may_hold(F.col("leaf"))).groupBy("line", "leaf", "masked").agg(F.min("doc").alias("a"), F.max("doc").alias("z"))
+    kinds = cut(kinds, "kinds")
+    # a leaf of one distinct line has nothing to compare
+    sizes = kinds.groupBy("leaf").agg(F.count(F.lit(1)).alias("size"), F.min("a").alias("_a"), F.max("z").alias("_z")).filter("size > 1 AND _a <> _z")
+    held = cut(kinds.join(sizes.select("leaf", "size"), "leaf"), "held")
+    token = held.select("line", "leaf", "size", F.posexplode(F.split("masked", " ")).alias("at", "token"))
+    token = token.select("line", "size", F.xxhash64("leaf", "at", "token").alias("token"), F.xxhash64("at").alias("blank"))
+    fixed = token.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.max("size").alias("_size")).filter("c > 1")
+    level = F.lit(len(LEVELS))
+    for i, share in reversed(list(enumerate(LEVELS))):
+        level = F.when(F.col("c") > F.col("_size") * share, F.lit(i)).otherwise(level)
+    shown = token.select("line", "token", "blank").join(fixed.select("token", level.alias("level")), "token", "left")
+    shown = shown.withColumn("level", F.coalesce("level", F.lit(len(LEVELS))))
+    tried = []
+    for i in range(len(LEVELS)):
+        steady = F.col("level") <= i
+        # a token's hash has its place, so what is shown, combined, is a key of the template
+        tried += [F.avg(steady.cast("double")).alias(f"share{i}"), F.bit_xor(F.when(steady, F.col("token")).otherwise(F.col("blank"))).alias(f"key{i}")]
+    made = shown.groupBy("line").agg(*tried)
+    options = F.array(*[F.when(F.col(f"share{i}") >= SIMILAR, F.struct(F.lit(i).alias("level"), F.col(f"key{i}").alias("key"))) for i in range(len(LEVELS))])
+    made = made.select("line", F.explode(F.filter(options, lambda x: x.isNotNull())).alias("option"))
+    general = made.join(held.select("line", "leaf", "a", "z"), "line").select("line", "option.level", F.xxhash64("leaf", "option.key").alias("template"), "a", "z")
+    general = cut(general, "general")
+    shared = general.groupBy("template").agg(F.min("a").alias("_a"), F.max("z").alias("_z")).filter("_a <> _z").select("template")
+    general = general.join(shared, "template", "left_semi").select("line", "level", "template")
+    exact = kinds.filter("a <> z").select("line", F.lit(len(LEVELS)).alias("level"), F.col("line").alias("template"))
+    chosen = cut(general.union(exact).groupBy("line").agg(F.min_by("template", "level").alias("template")), "chosen")
+    return _late(lines.filter(Membership(chosen, "line").may_hold(F.col("line"))).join(chosen, "line").select(*NARROW, "template"))
+
+
+def _late(found: DataFrame) -> DataFrame:
+    found = cut(found, "found")
     place = F.struct("doc_id", "text_hash", "place")
     # written, so that both sides of the join below are dealt anew and a frequent template can be split
     first = cut(found.groupBy("template").agg(F.min(place).alias("first")), "first")
@@ -81,9 +132,9 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     return late.groupBy("doc_id", "text_hash", "doc").agg(F.collect_set("place").alias("places"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, whole: bool = False) -> DataFrame:
     """docs with their late recurring lines cut out of text, and n_lines, n_dropped. Order of lines and columns is kept."""
-    places = cut(dropped_lines(docs), "dropped").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("doc").alias("_doc_of"), F.col("places").alias("_places"))
+    places = cut(dropped_lines_whole(docs) if whole else dropped_lines(docs), "dropped").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("doc").alias("_doc_of"), F.col("places").alias("_places"))
     keyed = docs.withColumn("_text_hash", F.xxhash64("text")).withColumn("_doc", F.xxhash64("doc_id", "_text_hash"))
     loses = Membership(places, "_doc_of").may_hold(F.col("_doc"))
     some = keyed.filter(loses).join(places.hint("shuffle_hash"), (F.col("_doc") == F.col("_doc_of")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")

@@ -46,7 +46,15 @@ def op8_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_dropped, text_sha256 of the text that is left (null: empty), kept (something is left, or nothing went)."""
-    rows = line_dedup.dedup_lines(_read(spark, sf_dir, "documents"))
+    return _left(line_dedup.dedup_lines(_read(spark, sf_dir, "documents")))
+
+
+def op9_line_templates_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same columns, with templates that are relative to their leaves. SQL of the other query does not apply."""
+    return _left(line_dedup.dedup_lines(_read(spark, sf_dir, "documents"), whole=True))
+
+
+def _left(rows: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(text.cast("binary"), 256).alias("text_sha256"), ((F.col("n_dropped") == 0) | (F.trim(text) != "")).alias("kept"))
 
@@ -67,6 +75,7 @@ QUERIES = {
         op7_decontamination,
         op8_warc_transactions,
         op9_line_templates,
+        op9_line_templates_whole,
         op10_minhash_near_dedup,
     )
 }

@@ -215,3 +215,18 @@ def test_line_templates_of_nulls_repeats_and_nothing(spark):
     got = Counter((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in line_dedup.dedup_lines(docs(spark, rows)).collect())
     assert got == Counter([(1, "", 1, 1), (1, "", 1, 1), (None, line, 1, 0), (2, None, 0, 0), (3, "own words of this one", 2, 1)])
     assert line_dedup.dedup_lines(docs(spark, rows).limit(0)).count() == 0
+
+
+def late_lines(spark, rows):
+    """(id, dropped) of documents that lose lines."""
+    got = line_dedup.dedup_lines(docs(spark, rows), whole=True).filter("n_dropped > 0").collect()
+    return {r["doc_id"]: r["n_dropped"] for r in got}
+
+
+@pytest.mark.parametrize("n", [10, 1000, 10_000])
+def test_whole_templates_hold_at_any_size(spark, n):
+    rng = random.Random(n)
+    word = lambda k: "".join("abcdefghij"[int(c)] for c in f"{k:03d}")
+    line = lambda: f"This story was posted by {word(rng.randrange(200))} in the {word(rng.randrange(200))} section of the daily news site today"
+    rows = [(i, f"{word(i % 1000)} {word(i // 1000)} own\n{line()}") for i in range(n)]
+    assert late_lines(spark, rows) == dict.fromkeys(range(1, n), 1)
