@@ -16,9 +16,10 @@ dedup_lines(whole=True) decides the variable places relative to the leaf, so tha
 all distinct masked lines of a leaf, recurring ones included, are counted, and a token is fixed text at a level of LEVELS where
 more than that share of them have it at its place (at the last level: two). A line takes the template of the first level where
 SIMILAR of its tokens are fixed and two documents share the template, and otherwise itself, where it recurs. A template in a
-small part of its leaf is thus found at a later level. Without `whole` the results are those of the SQL of op9_line_templates.
+small part of its leaf is thus found at a later level. Lines with fewer tokens than DEPTH, of scripts without spaces too, take
+part as they are when masked; blank ones and those of field marks alone stay. Without `whole` the results are those of the SQL of op9_line_templates.
 
-Defined cases: null text stays null; lines with fewer tokens than DEPTH have no path and stay; white space beside a line is
+Defined cases: null text stays null; lines with fewer tokens than DEPTH have no path and stay (but see whole); white space beside a line is
 not part of its tokens but stays in kept lines; a document is known by doc_id and text, so repeated rows are one document
 and get equal results; rows with null ids come first in order; extra columns are kept.
 """
@@ -55,12 +56,15 @@ def _recurring(rows: DataFrame, key: str) -> DataFrame:
 NARROW = ["doc_id", "text_hash", "doc", "place"]
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, doc, place, line, leaf, masked of the lines that have a path, written."""
+def _lines(docs: DataFrame, short: bool = False) -> DataFrame:
+    """doc_id, text_hash, doc, place, line, leaf, masked of the lines that have a path, written.
+
+    With `short` a line of fewer tokens than DEPTH is a leaf of its own, unless it is blank or nothing but field marks."""
     lines = docs.filter("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
     lines = lines.select("doc_id", "text_hash", "place", masked(F.col("line")).alias("masked"))
     n = F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
-    lines = lines.select("doc_id", "text_hash", F.xxhash64("doc_id", "text_hash").alias("doc"), "place", "masked", n.alias("n")).filter(F.col("n") >= DEPTH)
+    lines = lines.select("doc_id", "text_hash", F.xxhash64("doc_id", "text_hash").alias("doc"), "place", "masked", n.alias("n"))
+    lines = lines.filter((F.col("n") >= DEPTH) | (F.trim(F.replace("masked", F.lit(FIELD), F.lit(""))) != "") if short else F.col("n") >= DEPTH)
     return cut(lines.select(*NARROW, F.xxhash64("masked").alias("line"), F.xxhash64("n", F.substring_index("masked", " ", DEPTH)).alias("leaf"), "masked"), "lines")
 
 
@@ -90,8 +94,8 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
 
 
 def dropped_lines_whole(docs: DataFrame) -> DataFrame:
-    """As dropped_lines, by templates that are relative to all distinct masked lines of a leaf."""
-    lines = _lines(docs)
+    """As dropped_lines, by templates that are relative to all distinct masked lines of a leaf, and with the short lines."""
+    lines = _lines(docs, short=True)
     leaves = cut(_recurring(lines, "leaf"), "leaves")
     kinds = lines.filter(Membership(leaves, "leaf").may_hold(F.col("leaf"))).groupBy("line", "leaf", "masked").agg(F.min("doc").alias("a"), F.max("doc").alias("z"))
     kinds = cut(kinds, "kinds")

@@ -230,3 +230,11 @@ def test_whole_templates_hold_at_any_size(spark, n):
     line = lambda: f"This story was posted by {word(rng.randrange(200))} in the {word(rng.randrange(200))} section of the daily news site today"
     rows = [(i, f"{word(i % 1000)} {word(i // 1000)} own\n{line()}") for i in range(n)]
     assert late_lines(spark, rows) == dict.fromkeys(range(1, n), 1)
+
+
+def test_whole_takes_short_lines_and_scripts_without_spaces(spark):
+    short = ["Les.", "And ornd.", "本网站所有内容均受版权保护", "Page 12", "", "  ", "12", "1 2"]
+    rows = [(1, "\n".join(short)), (2, "\n".join(reversed(short))), (3, "And  ornd.\nPage 7\nAlone."), (4, "Twice.\nTwice.")]
+    assert late_lines(spark, rows) == {2: 4, 3: 2}
+    left = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, rows), whole=True).collect()}
+    assert left == {1: rows[0][1], 2: "1 2\n12\n  \n", 3: "Alone.", 4: "Twice.\nTwice."}
