@@ -238,3 +238,16 @@ def test_whole_takes_short_lines_and_scripts_without_spaces(spark):
     assert late_lines(spark, rows) == {2: 4, 3: 2}
     left = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, rows), whole=True).collect()}
     assert left == {1: rows[0][1], 2: "1 2\n12\n  \n", 3: "Alone.", 4: "Twice.\nTwice."}
+
+
+def test_whole_templates_join_recurring_and_single_variants(spark):
+    line = "it was posted by {} here on this site today"
+    rows = [(i, line.format(name)) for i, name in enumerate(["Anna", "Anna", "Berta"])]
+    assert late_lines(spark, rows) == {1: 1, 2: 1}
+    values = [(i, line.format("abcdefghij"[i % 50 // 10] + "abcdefghij"[i % 10])) for i in range(1000)]
+    assert late_lines(spark, values) == dict.fromkeys(range(1, 1000), 1)
+    # a template in a small part of its leaf, and lines that share no more than their leaf
+    word = lambda k: "".join("abcdefghij"[int(c)] for c in f"{k:04d}")
+    own = [(i, "it was posted " + " ".join(word(i * 6 + k) for k in range(6))) for i in range(1000)]
+    rows = own + [(1000 + i, line.format("n" + word(i))) for i in range(40)]
+    assert late_lines(spark, rows) == dict.fromkeys(range(1001, 1040), 1)
