@@ -9,15 +9,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions import distance as D
+from nearfield.functions import kernels
 from nearfield.operators import evaluate, exact, maintain
 from nearfield.operators.index import IndexConfig, VectorIndex, build, load_index
 from nearfield.operators.prepare import Quantizer, prepare
 from nearfield.plans import config as C
-from nearfield.plans.scratch import scratch_path
+from nearfield.plans.scratch import cut, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -469,16 +471,41 @@ def index_health(spark, d):
 
 @query()
 def pruning_reads(spark, d):
-    """Share of the components that exact and sampled pruning read, over threefold vectors of 192 dimensions."""
-    from nearfield.functions import kernels
-
-    rows = np.array([r[0] for r in _vectors(spark, d).orderBy("vec_id").select("embedding").limit(500).collect()], np.float32)
-    rows = np.concatenate([rows, np.roll(rows, 1, 0), np.roll(rows, 2, 0)], axis=1) @ kernels.rotation_matrix(192, 42)
-    out = []
-    for pruning in ("none", "exact", "adsampling"):
-        read = 0
-        for q in rows[::50]:
-            threshold = np.sort(((rows - q) ** 2).sum(axis=1))[9]
-            read += kernels.pruned_l2sq(q.astype(np.float64), rows, float(threshold), pruning)[2]
-        out.append((pruning, round(read / (len(rows[::50]) * rows.size), 4)))
-    return spark.createDataFrame(out, "pruning string, share_read double")
+    """Share of the components that exact and sampled pruning read, over threefold vectors of 192 dimensions.
+
+    A threefold vector is followed by those of the two ids before it, in a ring (by itself, where there is no such id). The threshold of a query is the distance of its K-th neighbour among all vectors, so the share doesn't depend on their order.
+    """
+    kinds = ("none", "exact", "adsampling")
+
+    def turned(batches):
+        turn = kernels.rotation_matrix(3 * DIMS, 42).astype(np.float64)
+        for b in batches:
+            rows = kernels.matrix(b.column(1), 3 * DIMS) @ turn
+            yield pa.RecordBatch.from_arrays([b.column(0), kernels.lists(rows.astype(np.float32), pa.float32())], names=["vec_id", "embedding"])
+
+    v = _vectors(spark, d).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    n = v.agg(F.max("vec_id") + 1).first()[0]
+    wide = v.withColumn("own", F.col("embedding"))
+    for k in (1, 2):
+        back = v.select(F.pmod(F.col("vec_id") + k, F.lit(n)).alias("vec_id"), F.col("embedding").alias("back"))
+        wide = wide.join(back, "vec_id", "left").select("vec_id", "own", F.concat("embedding", F.coalesce("back", "own")).alias("embedding"))
+    wide = cut(wide.select("vec_id", "embedding").mapInArrow(turned, "vec_id long, embedding array<float>"), "wide")
+    near = exact.knn(_asked(wide), wide, K).groupBy("query_id").agg(F.max("distance").alias("threshold"))
+    # the threshold goes along as one more component
+    asked = _asked(wide).join(near, "query_id").select("query_id", F.concat(F.col("embedding").cast("array<double>"), F.array("threshold")).alias("embedding"))
+    out = spark.createDataFrame([(x, 0, 0) for x in kinds], "pruning string, read long, size long")
+    for _, block in exact.query_blocks(cut(asked, "asked")):
+        sent = spark.sparkContext.broadcast(block)
+
+        def run(batches, sent=sent):
+            read, size = dict.fromkeys(kinds, 0), 0
+            for b in batches:
+                rows = kernels.matrix(b.column(0), 3 * DIMS)
+                size += rows.size * len(sent.value)
+                for q in sent.value:
+                    for x in kinds:
+                        read[x] += kernels.pruned_l2sq(q[:-1], rows, float(q[-1]), x)[2]
+            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array([read[x] for x in kinds], pa.int64()), pa.array([size] * len(kinds), pa.int64())], names=["pruning", "read", "size"])
+
+        out = out.union(wide.select("embedding").mapInArrow(run, "pruning string, read long, size long"))
+    return out.groupBy("pruning").agg(F.round(F.sum("read") / F.sum("size"), 4).alias("share_read"))
