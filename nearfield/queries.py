@@ -242,6 +242,18 @@ def partial_l2_prefix(spark, d):
     return _asked(v).join(other).select("query_id", "vec_id", F.round(D.partial_l2sq(F.col("embedding"), F.col("e"), 0, 16), 6).alias("partial"))
 
 
+@query()
+def partial_l2_prefix_all(spark, d):
+    """As partial_l2_prefix, of each query and every vector. The SQL of that query has one fiftieth of the vectors."""
+    v = _vectors(spark, d).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("e"))
+    out = spark.createDataFrame([], "query_id long, vec_id long, partial double")
+    for ids, rows in exact.query_blocks(_asked(_vectors(spark, d))):
+        block = spark.createDataFrame(pa.table({"query_id": pa.array(ids), "embedding": kernels.lists(rows, pa.float32())}))
+        pairs = v.join(F.broadcast(block))
+        out = out.union(pairs.select("query_id", "vec_id", F.round(D.partial_l2sq(F.col("embedding"), F.col("e"), 0, 16), 6).alias("partial")))
+    return out
+
+
 # --- rules ----------------------------------------------------------------------------------------------------------
 
 

@@ -3,6 +3,7 @@ import pytest
 
 from nearfield import queries
 from nearfield.functions import kernels
+from nearfield.operators import exact
 
 
 @pytest.fixture
@@ -25,3 +26,13 @@ def test_pruning_reads_of_all_vectors(spark, fixture):
             threshold = np.sort(((wide - q) ** 2).sum(axis=1))[9]
             read += kernels.pruned_l2sq(q, wide, float(threshold), pruning)[2]
         assert got[pruning] == round(read / (26 * 1300 * 192), 4)
+
+
+def test_partial_distances_of_all_vectors(spark, fixture, monkeypatch):
+    d, rows = fixture
+    monkeypatch.setattr(exact, "QUERY_BLOCK_BYTES", 8 * 64 * 10)
+    got = {(r["query_id"], r["vec_id"]): r["partial"] for r in queries.partial_l2_prefix_all(spark, d).collect()}
+    wide = rows[:, :16].astype(np.float64)
+    want = {(q, v): ((wide[q] - wide[v]) ** 2).sum() for q in range(0, 1300, 50) for v in range(1300)}
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 2e-6 for k in want)
