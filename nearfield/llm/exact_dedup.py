@@ -154,9 +154,10 @@ def deduplicate(keys: DataFrame, history: DataFrame) -> DataFrame:
 
     Members take winner and count of their slot; nonmembers are grouped among themselves.
     """
-    shards = max(1, -(-history.count() // SHARD_DIGESTS))
+    own = cut(history_of(keys), "own")
+    # both sides of the lookup are dealt by shard, so the greater one decides
+    shards = max(1, -(-max(history.count(), own.count()) // SHARD_DIGESTS))
     index = cut(build_index(history, shards), "mph")
-    own = history_of(keys)
     found = lookup(own, index, shards)
     return own.join(found.withColumnRenamed("locator", "winner").withColumnRenamed("n", "winner_n"), "digest").select(
         "digest",

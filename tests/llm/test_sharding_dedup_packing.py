@@ -166,3 +166,13 @@ def test_vector_limits_hold_for_whole_examples(spark):
         packing.pack(df, tokens=16, cutting=False).collect()
     cut = packing.pack(df, tokens=256, segments=6, loss_tokens=100, loss_col="share").collect()
     assert sum(p["length"] for p in cut) == sum({p["doc_id"]: p["doc_tokens"] for p in cut}.values())
+
+
+def test_shards_follow_the_batch_too(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "SHARD_DIGESTS", 10)
+    asked, lookup = [], exact_dedup.lookup
+    monkeypatch.setattr(exact_dedup, "lookup", lambda batch, index, shards: asked.append(shards) or lookup(batch, index, shards))
+    rows = [(i, f"text {i}") for i in range(200)] + [(900, "text 7")]
+    got = exact_dedup.dedup_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert asked == [20]
+    assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in got} == {i: (900, 2, i == 900) if i in (7, 900) else (i, 1, True) for i, _ in rows}
