@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from nearfield.llm import decontaminate, langid, line_dedup, near_dedup, packing
 from nearfield.llm.common import cut
+from nearfield.llm.membership import Membership
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -30,9 +31,31 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that with the least id. Five-word shingles, similarity 0.8 or more."""
-    drop = near_dedup.near_duplicates(docs, width=5, percent=80).filter("NOT kept").select("doc_id").distinct()
-    return _documents(docs.join(drop, "doc_id", "left_anti"))
+    """One document of each group stays: that with the least id. Five-word shingles, similarity 0.8 or more.
+
+    Rows with a null or repeated id come after the others of their group; of equal rows of one id and text, one is looked at.
+    """
+    rows = _numbered(docs)
+    drop = near_dedup.near_duplicates(rows, width=5, percent=80, id_col="_id").filter("NOT kept").select(F.col("doc_id").alias("_id"))
+    return _documents(rows.join(drop, "_id", "left_anti"))
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a column _id that no two rows share: doc_id where that is a row's own, otherwise a number above all ids."""
+    docs = docs.select(*COLUMNS)
+    odd = cut(docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").select("doc_id", F.xxhash64("doc_id").alias("_key")), "odd")
+    own = F.col("doc_id").cast("long").alias("_id")
+    if odd.isEmpty():
+        return docs.select("*", own)
+    maybe = Membership(odd, "_key").may_hold(F.xxhash64("doc_id")) & F.col("doc_id").isNotNull()
+    ids = odd.filter("doc_id IS NOT NULL").select("doc_id")
+    alone = docs.filter(~maybe & F.col("doc_id").isNotNull()).union(docs.filter(maybe).join(ids, "doc_id", "left_anti"))
+    shared = docs.filter("doc_id IS NULL").union(docs.filter(maybe).join(ids, "doc_id", "left_semi"))
+    shared = shared.groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("rest")).select("doc_id", "text", "rest.*")
+    top = docs.agg(F.max("doc_id").cast("long")).first()[0]
+    number = F.monotonically_increasing_id() + F.lit(-1 if top is None else top) + 1
+    # written, so that the numbers stay what they are
+    return cut(alone.select("*", own).union(shared.select(*COLUMNS, number.alias("_id"))), "numbered")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -71,3 +71,15 @@ def test_profiles_rank_the_right_language():
         top = langid.top_grams(*langid.gram_counts(t))
         ranks[i, top] = np.arange(len(top))
     assert int(langid.distances(langid.top_grams(*langid.gram_counts("the man and that dog")), ranks).argmin()) == 0
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    word = lambda k: "abcdefghij"[k // 10] + "abcdefghij"[k % 10]
+    near, clean = " ".join(word(k) for k in range(60)), " ".join(word(99 - k) for k in range(30))
+    other = " ".join(word(k) * 2 for k in range(40))
+    rows = [(1, near), (2, near + " end"), (2, clean), (None, near), (None, near + " more"), (3, other), (3, other), (None, other), (4, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    ids = got.pop((3, other), 0) + got.pop((None, other), 0)
+    assert ids == 1
+    assert got == Counter([(1, near), (2, clean), (4, None), (None, "")])
