@@ -36,3 +36,11 @@ def test_partial_distances_of_all_vectors(spark, fixture, monkeypatch):
     want = {(q, v): ((wide[q] - wide[v]) ** 2).sum() for q in range(0, 1300, 50) for v in range(1300)}
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_k_above_the_count_gives_all_rows(spark, fixture):
+    d, rows = fixture
+    v = queries._vectors(spark, d)
+    got = exact.knn(queries._asked(v).filter("query_id < 100"), v, 2000).collect()
+    assert sorted((r["query_id"], r["rank"]) for r in got) == [(q, k) for q in (0, 50) for k in range(1, 1301)]
+    assert {(r["query_id"], r["vec_id"]) for r in got} == {(q, v) for q in (0, 50) for v in range(1300)}
