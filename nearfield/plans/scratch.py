@@ -1,38 +1,71 @@
-"""Tables in the folder that driver and executors share: where lineage is cut."""
+"""Tables in the folder that driver and executors share: where lineage is cut.
+
+A written table needs none of the shuffles that made it, so their files go as soon as it is there; free() removes a table
+whose readers have been written. What is left goes at the end of the process.
+"""
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MADE: list[tuple[SparkSession, str]] = []
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_MADE: dict[str, SparkSession] = {}
+_PATH_OF: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that is unset (tests), one temporary folder a session."""
+    """spark.checkpoint.dir; where that is unset (tests on a local master), one temporary folder a session."""
     set_to = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if set_to:
         return set_to
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="nearfield-"))
     return spark.sparkContext.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
     path = f"{shared_dir(spark).rstrip('/')}/nearfield/{what}-{uuid.uuid4().hex}"
-    _MADE.append((spark, path))
+    _MADE[path] = spark
     return path
 
 
+@contextlib.contextmanager
+def shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Within it, the shuffle files of a query go when the query has ended."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def cut(df: DataFrame, what: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends here and survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, what)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with shuffles_end(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATH_OF[out] = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Remove tables that cut() made and that nothing will read any more."""
+    for table in tables:
+        path = _PATH_OF.pop(table, None)
+        if path is not None and (spark := _MADE.pop(path, None)) is not None:
+            remove(spark, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -44,7 +77,7 @@ def remove(spark: SparkSession, path: str) -> None:
 def cleanup() -> None:
     """Remove this process's scratch tables; what reads them must have been written before."""
     while _MADE:
-        spark, path = _MADE.pop()
+        path, spark = _MADE.popitem()
         try:
             remove(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone
