@@ -7,9 +7,21 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
-from nearfield.plans.scratch import cut, scratch_path
+from nearfield.plans.scratch import cut, free, scratch_path
 
-__all__ = ["ascii_lower", "cut", "held_out", "mix64", "scratch_path", "sub_batches", "text_buffer"]
+__all__ = ["ascii_lower", "cut", "free", "fresh", "held_out", "mix64", "scratch_path", "sub_batches", "text_buffer"]
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names with as many underscores before them as keep them apart from taken ones, in any case of letters."""
+    used = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while (name := "_" + name).lower() in used:
+            pass
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
 def ascii_lower(column):

@@ -1,27 +1,23 @@
 """Line deduplication by a fixed-depth log-template tree. Built-in functions only.
 
 A line's path in the tree is its number of tokens and its first DEPTH tokens, tokens with a digit standing for one variable
-field. A line's template is
-  - the line with those fields masked, where that occurs in another document as it is; otherwise,
-  - among the lines of its leaf, the line with every token masked that no other document has at its place, where at least
-    SIMILAR of the tokens remain.
+field. The distinct masked lines of a leaf decide which of its places are fixed: a token is fixed text at a level of LEVELS where
+more than that share of them have it at its place (at the last level: two). A line takes the template of the first level where
+SIMILAR of its tokens are fixed and two documents share the template, and otherwise itself, where it recurs. As shares are
+relative to the leaf, fields stay fields in a corpus of any size, and a template in a small part of its leaf is found at a later
+level. Lines with fewer tokens than DEPTH, of scripts without spaces too, take part as they are when masked; blank ones and
+those of field marks alone stay.
+
 Lines whose template occurs in two documents or more are dropped, but for the first: that of the least (doc_id, place).
 So what many documents share is kept once, and a document that stands alone loses nothing.
 
 What occurs in two documents is told by the least and greatest document key of each line, leaf and token, taken partially
-before the shuffle; no leaf is ever collected. Keys are 64-bit hashes. Rows are kept from shuffles by bitmaps of fixed size
-where they surely have no partner: the text of a line moves only if its leaf recurs, that of a document only if it loses a line.
+before the shuffle; no leaf is ever collected. Keys are 64-bit hashes. Rows are kept from shuffles by bitmaps where they surely
+have no partner: the text of a line moves only if its leaf recurs, that of a document only if it loses a line.
 
-dedup_lines(whole=True) decides the variable places relative to the leaf, so that fields stay fields in a corpus of any size:
-all distinct masked lines of a leaf, recurring ones included, are counted, and a token is fixed text at a level of LEVELS where
-more than that share of them have it at its place (at the last level: two). A line takes the template of the first level where
-SIMILAR of its tokens are fixed and two documents share the template, and otherwise itself, where it recurs. A template in a
-small part of its leaf is thus found at a later level. Lines with fewer tokens than DEPTH, of scripts without spaces too, take
-part as they are when masked; blank ones and those of field marks alone stay. Without `whole` the results are those of the SQL of op9_line_templates.
-
-Defined cases: null text stays null; lines with fewer tokens than DEPTH have no path and stay (but see whole); white space beside a line is
-not part of its tokens but stays in kept lines; a document is known by doc_id and text, so repeated rows are one document
-and get equal results; rows with null ids come first in order; extra columns are kept.
+Defined cases: null text stays null; white space beside a line is not part of its tokens but stays in kept lines; a document is
+known by doc_id and text, so repeated rows are one document and get equal results; rows with null ids come first in order;
+extra columns are kept, whatever their names, but for n_lines and n_dropped, which are replaced.
 """
 
 from __future__ import annotations
@@ -29,13 +25,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import cut
+from nearfield.llm.common import cut, free, fresh
 from nearfield.llm.membership import Membership
 
 DEPTH = 3
 SIMILAR = 0.8
 FIELD = "<*>"
 LEVELS = (1 / 2, 1 / 8, 1 / 32, 1 / 128, 1 / 512, 0.0)
+NARROW = ["doc_id", "text_hash", "doc", "place"]
 
 
 def masked(line: Column) -> Column:
@@ -48,57 +45,24 @@ def masked(line: Column) -> Column:
     return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"[^ 0-9]*+[0-9][^ ]*+", FIELD)).otherwise(plain)
 
 
-def _recurring(rows: DataFrame, key: str) -> DataFrame:
-    """Values of a key that two documents or more have."""
-    return rows.groupBy(key).agg(F.min("doc").alias("_a"), F.max("doc").alias("_z")).filter("_a <> _z").select(key)
-
-
-NARROW = ["doc_id", "text_hash", "doc", "place"]
-
-
-def _lines(docs: DataFrame, short: bool = False) -> DataFrame:
-    """doc_id, text_hash, doc, place, line, leaf, masked of the lines that have a path, written.
-
-    With `short` a line of fewer tokens than DEPTH is a leaf of its own, unless it is blank or nothing but field marks."""
+def _lines(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, doc, place, line, leaf, masked of the lines that take part, written."""
     lines = docs.filter("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
     lines = lines.select("doc_id", "text_hash", "place", masked(F.col("line")).alias("masked"))
     n = F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
     lines = lines.select("doc_id", "text_hash", F.xxhash64("doc_id", "text_hash").alias("doc"), "place", "masked", n.alias("n"))
-    lines = lines.filter((F.col("n") >= DEPTH) | (F.trim(F.replace("masked", F.lit(FIELD), F.lit(""))) != "") if short else F.col("n") >= DEPTH)
+    lines = lines.filter((F.col("n") >= DEPTH) | (F.trim(F.replace("masked", F.lit(FIELD), F.lit(""))) != ""))
     return cut(lines.select(*NARROW, F.xxhash64("masked").alias("line"), F.xxhash64("n", F.substring_index("masked", " ", DEPTH)).alias("leaf"), "masked"), "lines")
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, doc, places): the places (from 0) of the lines to drop, for documents that have any."""
-    lines = _lines(docs)
-    same = cut(_recurring(lines, "line"), "recurring")
-    maybe = Membership(same, "line").may_hold(F.col("line"))
-    exact = lines.filter(maybe).join(same, "line", "left_semi").select(*NARROW, F.col("line").alias("template"))
-
-    rest = lines.filter(~maybe).select("doc", "leaf", "line").union(lines.filter(maybe).join(same, "line", "left_anti").select("doc", "leaf", "line"))
-    leaves = cut(_recurring(rest, "leaf"), "leaves")
-    held = lines.filter(Membership(leaves, "leaf").may_hold(F.col("leaf"))).join(leaves, "leaf", "left_semi").join(same, "line", "left_anti")
-    held = cut(held.select(*NARROW, "leaf", "masked").withColumn("id", F.monotonically_increasing_id()), "open")
-    token = held.select("id", "doc", "leaf", F.posexplode(F.split("masked", " ")).alias("at", "token"))
-    token = token.select("id", "doc", F.xxhash64("leaf", "at", "token").alias("token"), F.xxhash64("at").alias("blank"))
-    steady = _recurring(token, "token").withColumn("steady", F.lit(True))
-    shown = token.select("id", "token", "blank").join(steady, "token", "left")
-    # a token's hash has its place, so the sum of what is shown is a key of the template
-    part = F.when(F.col("steady"), F.col("token")).otherwise(F.col("blank"))
-    made = shown.groupBy("id").agg(F.avg(F.col("steady").isNotNull().cast("double")).alias("share"), F.sum(part.cast("decimal(20,0)")).alias("sum"))
-    similar = made.filter(F.col("share") >= SIMILAR).join(held.select("id", "leaf", *NARROW), "id")
-    similar = cut(similar.select(*NARROW, F.xxhash64("leaf", F.col("sum").cast("string")).alias("template")), "similar")
-    general = similar.join(_recurring(similar, "template"), "template", "left_semi").select(*NARROW, "template")
-
-    return _late(exact.union(general))
-
-
-def dropped_lines_whole(docs: DataFrame) -> DataFrame:
-    """As dropped_lines, by templates that are relative to all distinct masked lines of a leaf, and with the short lines."""
-    lines = _lines(docs, short=True)
-    leaves = cut(_recurring(lines, "leaf"), "leaves")
-    kinds = lines.filter(Membership(leaves, "leaf").may_hold(F.col("leaf"))).groupBy("line", "leaf", "masked").agg(F.min("doc").alias("a"), F.max("doc").alias("z"))
+def _templates(lines: DataFrame) -> DataFrame:
+    """(line, template) of each distinct masked line that has a recurring template, written."""
+    leaves = cut(lines.groupBy("leaf").agg(F.min("doc").alias("_a"), F.max("doc").alias("_z")).filter("_a <> _z").select("leaf"), "leaves")
+    shared_leaf = Membership(leaves, "leaf")
+    kinds = lines.filter(shared_leaf.may_hold(F.col("leaf"))).groupBy("line", "leaf").agg(F.min("masked").alias("masked"), F.min("doc").alias("a"), F.max("doc").alias("z"))
     kinds = cut(kinds, "kinds")
+    free(leaves)
+    shared_leaf.free()
     # a leaf of one distinct line has nothing to compare
     sizes = kinds.groupBy("leaf").agg(F.count(F.lit(1)).alias("size"), F.min("a").alias("_a"), F.max("z").alias("_z")).filter("size > 1 AND _a <> _z")
     held = cut(kinds.join(sizes.select("leaf", "size"), "leaf"), "held")
@@ -120,32 +84,51 @@ def dropped_lines_whole(docs: DataFrame) -> DataFrame:
     made = made.select("line", F.explode(F.filter(options, lambda x: x.isNotNull())).alias("option"))
     general = made.join(held.select("line", "leaf", "a", "z"), "line").select("line", "option.level", F.xxhash64("leaf", "option.key").alias("template"), "a", "z")
     general = cut(general, "general")
+    free(held)
     shared = general.groupBy("template").agg(F.min("a").alias("_a"), F.max("z").alias("_z")).filter("_a <> _z").select("template")
-    general = general.join(shared, "template", "left_semi").select("line", "level", "template")
+    # written, so that both sides are dealt anew and a frequent template can be split
+    shared = cut(shared, "shared")
+    options = general.join(shared, "template", "left_semi").select("line", "level", "template")
     exact = kinds.filter("a <> z").select("line", F.lit(len(LEVELS)).alias("level"), F.col("line").alias("template"))
-    chosen = cut(general.union(exact).groupBy("line").agg(F.min_by("template", "level").alias("template")), "chosen")
-    return _late(lines.filter(Membership(chosen, "line").may_hold(F.col("line"))).join(chosen, "line").select(*NARROW, "template"))
+    chosen = cut(options.union(exact).groupBy("line").agg(F.min_by("template", "level").alias("template")), "chosen")
+    free(kinds, general, shared)
+    return chosen
 
 
-def _late(found: DataFrame) -> DataFrame:
-    found = cut(found, "found")
+def dropped_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, doc, places): the places (from 0) of the lines to drop, for documents that have any; written."""
+    lines = _lines(docs)
+    chosen = _templates(lines)
+    takes_part = Membership(chosen, "line")
+    found = cut(lines.filter(takes_part.may_hold(F.col("line"))).join(chosen, "line").select(*NARROW, "template"), "found")
+    free(lines, chosen)
+    takes_part.free()
     place = F.struct("doc_id", "text_hash", "place")
-    # written, so that both sides of the join below are dealt anew and a frequent template can be split
     first = cut(found.groupBy("template").agg(F.min(place).alias("first")), "first")
     late = found.join(first, "template").filter(~place.eqNullSafe(F.col("first")))
-    return late.groupBy("doc_id", "text_hash", "doc").agg(F.collect_set("place").alias("places"))
+    late = cut(late.groupBy("doc_id", "text_hash", "doc").agg(F.collect_set("place").alias("places")), "dropped")
+    free(found, first)
+    return late
 
 
-def dedup_lines(docs: DataFrame, whole: bool = False) -> DataFrame:
+def without_places(lines: Column, places: Column) -> Column:
+    """The entries of an array but for those at the given places. Both are bound once, so the work is in proportion."""
+    bound = F.array(F.struct(lines.alias("lines"), places.alias("places")))
+    rest = lambda s: F.transform(F.array_except(F.sequence(F.lit(0), F.size(s["lines"]) - 1), s["places"]), lambda i: F.get(s["lines"], i))
+    return F.flatten(F.transform(bound, rest))
+
+
+def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with their late recurring lines cut out of text, and n_lines, n_dropped. Order of lines and columns is kept."""
-    places = cut(dropped_lines_whole(docs) if whole else dropped_lines(docs), "dropped").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("doc").alias("_doc_of"), F.col("places").alias("_places"))
-    keyed = docs.withColumn("_text_hash", F.xxhash64("text")).withColumn("_doc", F.xxhash64("doc_id", "_text_hash"))
-    loses = Membership(places, "_doc_of").may_hold(F.col("_doc"))
-    some = keyed.filter(loses).join(places.hint("shuffle_hash"), (F.col("_doc") == F.col("_doc_of")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
+    own = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
+    id_, hash_, doc_of, places_, text_hash, doc = fresh([*docs.columns], "id", "hash", "doc_of", "places", "text_hash", "doc")
+    places = dropped_lines(docs).select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.col("doc").alias(doc_of), F.col("places").alias(places_))
+    keyed = docs.withColumn(text_hash, F.xxhash64("text")).withColumn(doc, F.xxhash64("doc_id", text_hash))
+    loses = Membership(places, doc_of).may_hold(F.col(doc))
+    same = (F.col(doc) == F.col(doc_of)) & F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(text_hash) == F.col(hash_))
+    some = keyed.filter(loses).join(places.hint("shuffle_hash"), same, "left")
     lines = F.split("text", "\n", -1)
     n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
-    kept = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("_places", i), x)), lambda x: x.isNotNull()), "\n")
-    text = F.when(F.col("_places").isNull(), F.col("text")).otherwise(kept)
-    own = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
+    text = F.when(F.col(places_).isNull(), F.col("text")).otherwise(F.array_join(without_places(lines, F.col(places_)), "\n"))
     none = keyed.filter(~loses).select(*own, "text", n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
-    return none.union(some.select(*own, text.alias("text"), n_lines.alias("n_lines"), F.coalesce(F.size("_places"), F.lit(0)).cast("long").alias("n_dropped")))
+    return none.union(some.select(*own, text.alias("text"), n_lines.alias("n_lines"), F.coalesce(F.size(places_), F.lit(0)).cast("long").alias("n_dropped")))

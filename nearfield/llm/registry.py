@@ -46,15 +46,7 @@ def op8_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_dropped, text_sha256 of the text that is left (null: empty), kept (something is left, or nothing went)."""
-    return _left(line_dedup.dedup_lines(_read(spark, sf_dir, "documents")))
-
-
-def op9_line_templates_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same columns, with templates that are relative to their leaves. SQL of the other query does not apply."""
-    return _left(line_dedup.dedup_lines(_read(spark, sf_dir, "documents"), whole=True))
-
-
-def _left(rows: DataFrame) -> DataFrame:
+    rows = line_dedup.dedup_lines(_read(spark, sf_dir, "documents"))
     text = F.coalesce(F.col("text"), F.lit(""))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(text.cast("binary"), 256).alias("text_sha256"), ((F.col("n_dropped") == 0) | (F.trim(text) != "")).alias("kept"))
 
@@ -75,7 +67,6 @@ QUERIES = {
         op7_decontamination,
         op8_warc_transactions,
         op9_line_templates,
-        op9_line_templates_whole,
         op10_minhash_near_dedup,
     )
 }
@@ -155,18 +146,20 @@ lines AS (
     '[^ 0-9]*[0-9][^ ]*', '<*>', 'g') AS masked
   FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS pos FROM split)),
 l AS (SELECT *, string_split(masked, ' ') AS t FROM lines),
-paths AS (SELECT *, len(t) || '/' || array_to_string(t[1:3], ' ') AS leaf FROM l WHERE len(t) >= 3),
-same AS (SELECT masked FROM paths GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2),
-rest AS (SELECT * FROM paths WHERE masked NOT IN (SELECT masked FROM same)),
-leaves AS (SELECT leaf FROM rest GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2),
-tokens AS (SELECT doc_id, pos, leaf, k, t[k] AS token FROM (SELECT *, unnest(range(1, len(t) + 1)) AS k FROM rest WHERE leaf IN (SELECT leaf FROM leaves))),
-steady AS (SELECT leaf, k, token FROM tokens GROUP BY 1, 2, 3 HAVING count(DISTINCT doc_id) >= 2),
+paths AS (SELECT *, len(t) || '/' || array_to_string(t[1:3], ' ') AS leaf FROM l WHERE len(t) >= 3 OR trim(replace(masked, '<*>', '')) <> ''),
+kinds AS (SELECT masked, leaf, any_value(t) AS t, min(doc_id) AS a, max(doc_id) AS z FROM paths GROUP BY 1, 2),
+sizes AS (SELECT leaf, count(*) AS size FROM kinds GROUP BY 1 HAVING count(*) > 1 AND min(a) <> max(z)),
+tokens AS (SELECT masked, leaf, size, k, t[k] AS token, a, z FROM (SELECT *, unnest(range(1, len(t) + 1)) AS k FROM kinds JOIN sizes USING (leaf))),
+steady AS (SELECT leaf, k, token, count(*) AS c FROM tokens GROUP BY 1, 2, 3 HAVING count(*) > 1),
+levels AS (SELECT unnest(range(6)) AS level, unnest([1 / 2, 1 / 8, 1 / 32, 1 / 128, 1 / 512, 0]::DOUBLE[]) AS share),
 general AS (
-  SELECT doc_id, pos, leaf || '/' || string_agg(coalesce(s.token, '<*>'), ' ' ORDER BY k) AS template
-  FROM tokens LEFT JOIN steady s USING (leaf, k, token) GROUP BY doc_id, pos, leaf HAVING avg((s.token IS NOT NULL)::INT) >= 0.8),
-found AS (
-  SELECT doc_id, pos, masked AS template FROM paths WHERE masked IN (SELECT masked FROM same)
-  UNION ALL SELECT doc_id, pos, 'general/' || template FROM general WHERE template IN (SELECT template FROM general GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2)),
+  SELECT masked, level, leaf || '/' || string_agg(CASE WHEN c > size * share THEN 'is ' || token ELSE 'any' END, ' ' ORDER BY k) AS template, min(a) AS a, max(z) AS z
+  FROM tokens LEFT JOIN steady USING (leaf, k, token), levels GROUP BY masked, leaf, level HAVING avg((coalesce(c, 0) > size * share)::INT) >= 0.8),
+options AS (
+  SELECT masked, level, 'general/' || template AS template FROM general WHERE template IN (SELECT template FROM general GROUP BY 1 HAVING min(a) <> max(z))
+  UNION ALL SELECT masked, 6, masked FROM kinds WHERE a <> z),
+chosen AS (SELECT masked, min_by(template, level) AS template FROM options GROUP BY 1),
+found AS (SELECT doc_id, pos, template FROM paths JOIN chosen USING (masked)),
 late AS (SELECT doc_id, pos FROM found QUALIFY row_number() OVER (PARTITION BY template ORDER BY doc_id, pos) > 1),
 gone AS (SELECT doc_id, list(pos) AS places FROM late GROUP BY 1),
 cut AS (

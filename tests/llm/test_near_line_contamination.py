@@ -217,9 +217,18 @@ def test_line_templates_of_nulls_repeats_and_nothing(spark):
     assert line_dedup.dedup_lines(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_line_templates_of_clashing_names_and_a_very_long_text(spark):
+    long = "\n".join(["all of this line is known", *(f"own line number x{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)} of a long text" for k in range(15_000))])
+    rows = [(1, "all of this line is known"), (2, long)]
+    df = docs(spark, rows).selectExpr("doc_id", "text", "1 AS _id", "2 AS _hash", "3 AS _DOC", "4 AS n_dropped", "5 AS places")
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(df).collect()}
+    assert (got[1]["n_dropped"], got[2]["n_dropped"], got[2]["n_lines"]) == (0, 1, 15_001)
+    assert got[2]["text"] == long.split("\n", 1)[1] and (got[2]["_id"], got[2]["_DOC"], got[2]["places"]) == (1, 3, 5)
+
+
 def late_lines(spark, rows):
     """(id, dropped) of documents that lose lines."""
-    got = line_dedup.dedup_lines(docs(spark, rows), whole=True).filter("n_dropped > 0").collect()
+    got = line_dedup.dedup_lines(docs(spark, rows)).filter("n_dropped > 0").collect()
     return {r["doc_id"]: r["n_dropped"] for r in got}
 
 
@@ -236,7 +245,7 @@ def test_whole_takes_short_lines_and_scripts_without_spaces(spark):
     short = ["Les.", "And ornd.", "本网站所有内容均受版权保护", "Page 12", "", "  ", "12", "1 2"]
     rows = [(1, "\n".join(short)), (2, "\n".join(reversed(short))), (3, "And  ornd.\nPage 7\nAlone."), (4, "Twice.\nTwice.")]
     assert late_lines(spark, rows) == {2: 4, 3: 2}
-    left = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, rows), whole=True).collect()}
+    left = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, rows)).collect()}
     assert left == {1: rows[0][1], 2: "1 2\n12\n  \n", 3: "Alone.", 4: "Twice.\nTwice."}
 
 
