@@ -1,8 +1,8 @@
 """Connected components of an edge table, by alternating large and small stars.
 
 Each round keeps connectivity and moves edges towards the least node of a component; it ends when every edge points at a
-component's least node. Every step is an aggregation with partial minima and an equi-join, so a hub's edges are never in
-one task; rounds are written to the shared folder.
+component's least node. Every step is an aggregation with partial minima and an equi-join that deals a hub's edges over many
+tasks (skew.py); rounds are written to the shared folder, and a round's table goes when the next one is there.
 """
 
 from __future__ import annotations
@@ -10,22 +10,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import cut
+from nearfield.llm.common import cut, free
+from nearfield.llm.skew import join_hot
 
 MOST_ROUNDS = 60
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _star(rows: DataFrame, floor: bool) -> tuple[DataFrame, DataFrame]:
+    """rows(u, v) with m, the least v of u (u itself, if `floor` and it is less); and (u, m)."""
+    least = cut(rows.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+    return join_hot(rows, least.select("u", F.least("u", "m").alias("m") if floor else F.col("m")), "u", counts=least), least
+
+
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    joined, least = _star(both, True)
+    return joined.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), least
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b")
-    return moved.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
+    joined, least = _star(down, False)
+    moved = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b")
+    return moved.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), least
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -37,7 +44,12 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
     state = _state(now)
     for _ in range(MOST_ROUNDS):
-        now = cut(_small_star(_large_star(now)), "stars")
+        wide, one = _large_star(now)
+        wide = cut(wide, "wide")
+        free(now, one)
+        star, two = _small_star(wide)
+        now = cut(star, "stars")
+        free(wide, two)
         new = _state(now)
         if new == state:
             break

@@ -4,7 +4,11 @@ The history (distinct 32-byte digests, each with the locator of its winner and i
 bounded size. Each shard gets a minimal perfect hash by hash-and-displace: digests fall into small buckets, and a bucket's
 displacement sends its digests to free slots, so n digests take n slots and about 1 byte a digest of displacements. A slot
 holds the full digest and the locator; a lookup compares all 32 bytes, so a digest outside the history is always seen.
-Batches are looked up as distinct digests: one task gets one shard and the batch's digests of that shard, both bounded.
+Batches are looked up as distinct digests: one task gets one shard and the batch's digests of that shard; the greater side sets
+the number of shards, so both are bounded.
+
+dedup_documents() takes the rows with the greater half of the ids as the history, whose winners therefore stay, and the others as
+the batch: members among the batch are found by the hash alone and add to their slot's count, nonmembers are grouped separately.
 
 Defined cases: null text is empty text; of rows with one text and one doc_id each is marked alike; null ids never win over
 others; an empty history makes every digest a nonmember; other columns of the input are ignored.
@@ -22,7 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import cut, mix64
+from nearfield.llm.common import cut, free, mix64
+from nearfield.llm.skew import join_hot
 
 SHARD_DIGESTS = 20_000
 BUCKET_DIGESTS = 3
@@ -121,29 +126,75 @@ def build_index(history: DataFrame, shards: int) -> DataFrame:
     return history.select("digest", "locator", "n", _shard(shards).alias("shard")).groupBy("shard").applyInPandas(run, INDEX)
 
 
+class Shard:
+    """A shard of the index in memory: digests, locators (with a mark of those that are not null) and counts by slot."""
+
+    def __init__(self, row):
+        self.size, self.held = int(row["size"]), bytes(row["digests"])
+        self.displacements = np.frombuffer(row["displacements"], "<i4")
+        self.locators, self.counts = np.frombuffer(row["locators"], "<i8").copy(), np.frombuffer(row["counts"], "<i8").copy()
+        self.has = np.frombuffer(row["has_locator"], np.uint8).astype(bool)
+
+    def find(self, digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(slot, whether the slot holds this very digest) of each digest."""
+        slots = lookup_mph(self.displacements, self.size, digests)
+        return slots, np.array([self.held[32 * k : 32 * k + 32] == d for k, d in zip(slots.tolist(), digests, strict=True)], dtype=bool)
+
+
+def _found(digests: list[bytes], member, locators: np.ndarray, has: np.ndarray, counts: np.ndarray, known: np.ndarray | None = None) -> pd.DataFrame:
+    n = pd.array(counts, dtype="Int64")
+    if known is not None:
+        n[~known] = pd.NA
+    where = pd.array(locators, dtype="Int64")
+    where[~has] = pd.NA
+    return pd.DataFrame({"digest": digests, "member": member, "locator": where, "n": n})
+
+
 def lookup(batch: DataFrame, index: DataFrame, shards: int) -> DataFrame:
     """batch(digest, ...) of distinct digests -> digest, member, locator, n (null for nonmembers)."""
 
     def run(key, rows, shard):
         digests = [bytes(x) for x in rows["digest"]]
-        out = pd.DataFrame({"digest": digests, "member": False, "locator": pd.array([None] * len(rows), dtype="Int64"), "n": pd.array([None] * len(rows), dtype="Int64")})
-        if len(shard) and len(rows):
-            s = shard.iloc[0]
-            size, held = int(s["size"]), bytes(s["digests"])
-            slots = lookup_mph(np.frombuffer(s["displacements"], "<i4"), size, digests)
-            same = np.array([held[32 * k : 32 * k + 32] == d for k, d in zip(slots.tolist(), digests, strict=True)], dtype=bool)
-            has = np.frombuffer(s["has_locator"], np.uint8)[slots].astype(bool)
-            out["member"] = same
-            out["n"] = pd.array(np.frombuffer(s["counts"], "<i8")[slots], dtype="Int64")
-            out["locator"] = pd.array(np.frombuffer(s["locators"], "<i8")[slots], dtype="Int64")
-            out.loc[~same, "n"] = pd.NA
-            out.loc[~(same & has), "locator"] = pd.NA
-        return out
+        if not len(shard) or not len(rows):
+            none = np.zeros(len(rows), bool)
+            return _found(digests, none, np.zeros(len(rows), np.int64), none, np.zeros(len(rows), np.int64), none)
+        s = Shard(shard.iloc[0])
+        slots, same = s.find(digests)
+        return _found(digests, same, s.locators[slots], same & s.has[slots], s.counts[slots], same)
 
     left = batch.select("digest", _shard(shards).alias("shard")).groupBy("shard")
     return left.cogroup(index.groupBy("shard")).applyInPandas(run, "digest binary, member boolean, locator long, n long")
 
 
+def absorb(batch: DataFrame, index: DataFrame, shards: int) -> DataFrame:
+    """batch(digest, locator, n) of distinct digests added to an index: digest, member, locator, n of every digest of either.
+
+    Members add their count to their slot, and their locator counts if it is greater; nonmembers come as they are, with member
+    false. Digests of the index that the batch lacks come from their slots.
+    """
+
+    def run(key, rows, shard):
+        digests = [bytes(x) for x in rows["digest"]]
+        has = rows["locator"].notna().to_numpy(dtype=bool)
+        locators = rows["locator"].fillna(0).to_numpy(dtype=np.int64)
+        counts = rows["n"].to_numpy(dtype=np.int64)
+        if not len(shard):
+            return _found(digests, False, locators, has, counts)
+        s = Shard(shard.iloc[0])
+        slots, same = s.find(digests) if len(rows) else (np.zeros(0, np.int64), np.zeros(0, bool))
+        own = slots[same]
+        s.counts[own] += counts[same]
+        better = has[same] & (~s.has[own] | (locators[same] > s.locators[own]))
+        s.locators[own] = np.where(better, locators[same], s.locators[own])
+        s.has[own] |= has[same]
+        held = [s.held[32 * k : 32 * k + 32] for k in range(s.size)]
+        new = [d for d, known in zip(digests, same.tolist(), strict=True) if not known]
+        return _found(held + new, np.arange(s.size + len(new)) < s.size, np.concatenate([s.locators, locators[~same]]), np.concatenate([s.has, has[~same]]), np.concatenate([s.counts, counts[~same]]))
+
+    left = batch.select("digest", "locator", "n", _shard(shards).alias("shard")).groupBy("shard")
+    return left.cogroup(index.groupBy("shard")).applyInPandas(run, "digest binary, member boolean, locator long, n long")
+
+
 def history_of(keys: DataFrame) -> DataFrame:
     """The distinct digests of keys(doc_id, digest) with the largest id as locator and the number of rows; partial sums first."""
     return keys.groupBy("digest").agg(F.max("doc_id").alias("locator"), F.count(F.lit(1)).alias("n"))
@@ -156,7 +207,7 @@ def deduplicate(keys: DataFrame, history: DataFrame) -> DataFrame:
     """
     own = cut(history_of(keys), "own")
     # both sides of the lookup are dealt by shard, so the greater one decides
-    shards = max(1, -(-max(history.count(), own.count()) // SHARD_DIGESTS))
+    shards = shards_for(history, own)
     index = cut(build_index(history, shards), "mph")
     found = lookup(own, index, shards)
     return own.join(found.withColumnRenamed("locator", "winner").withColumnRenamed("n", "winner_n"), "digest").select(
@@ -167,15 +218,25 @@ def deduplicate(keys: DataFrame, history: DataFrame) -> DataFrame:
     )
 
 
+def shards_for(history: DataFrame, batch: DataFrame) -> int:
+    return max(1, -(-max(history.count(), batch.count()) // SHARD_DIGESTS))
+
+
 def dedup_documents(docs: DataFrame) -> DataFrame:
-    """All documents against the table's own history of digests seen more than once; one row a document."""
+    """One row a document: of those with the greater half of the ids, all distinct digests are the history; the others are looked up."""
     keys = cut(text_digests(docs), "digests")
-    history = cut(history_of(keys).filter("n > 1"), "history")
-    resolved = deduplicate(keys, history)
-    return keys.join(resolved, "digest").select(
+    middle = keys.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
+    old = F.col("doc_id") >= F.lit(middle)
+    history = cut(history_of(keys.filter(F.coalesce(old, F.lit(False)))), "history")
+    batch = cut(history_of(keys.filter(~F.coalesce(old, F.lit(False)))), "batch")
+    shards = shards_for(history, batch)
+    index = cut(build_index(history, shards), "mph")
+    resolved = cut(absorb(batch, index, shards), "resolved")
+    free(history, batch, index)
+    return join_hot(keys, resolved, "digest", counts=resolved).select(
         "doc_id",
-        "keep_id",
-        F.col("group_size").cast("long").alias("group_size"),
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        F.col("locator").alias("keep_id"),
+        F.col("n").alias("group_size"),
+        F.col("doc_id").eqNullSafe(F.col("locator")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )

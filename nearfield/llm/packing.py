@@ -12,7 +12,7 @@ segments can leave padding.
 Token ids are those of byte-level BPE, from the vocabulary of a tokenizers JSON file whose path is a parameter. Text that has
 no two white-space characters side by side splits at its spaces into pieces that byte-level BPE never joins; the distinct
 pieces of a batch are encoded once and gathered. Other texts are encoded whole. Ids are those of the tokenizers library
-(special strings are ordinary text), which the tests check.
+without added special tokens; special strings that a text itself holds have their ids, as there. The tests check this.
 
 Defined cases: null text is empty text, of which the end id alone is packed; null and repeated ids are packed like others.
 """
@@ -55,18 +55,19 @@ class ByteBpe:
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
+        model, special = whole["model"], {t["content"]: t["id"] for t in whole.get("added_tokens") or []}
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the vocabulary
         hidden = [b for b in range(256) if b not in shown]
         byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
         ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if i < 256 + len(model["merges"])}
-        self.bpe = tiktoken.Encoding("byte_bpe", pat_str=PRETOKENS, mergeable_ranks=ranks, special_tokens={})
-        self.width = np.zeros(max(ranks.values()) + 1, np.int64)
-        for token, i in ranks.items():
+        self.bpe = tiktoken.Encoding("byte_bpe", pat_str=PRETOKENS, mergeable_ranks=ranks, special_tokens=special)
+        self.width = np.zeros(max([*ranks.values(), *special.values()]) + 1, np.int64)
+        for token, i in [*ranks.items(), *((t.encode(), i) for t, i in special.items())]:
             self.width[i] = len(token)
 
     def encode(self, text: str) -> np.ndarray:
-        return np.asarray(self.bpe.encode_to_numpy(text), dtype=np.uint32)
+        return np.asarray(self.bpe.encode_to_numpy(text, allowed_special="all"), dtype=np.uint32)
 
     def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, length of each piece); a piece is read as it stands behind a space."""
@@ -187,6 +188,12 @@ class Packer:
         self.items = [x for x, on in zip(self.items, alive, strict=True) if on]
 
 
+def response_share(text):
+    """The share of a text behind its first line, as instruction data has its prompt there; all of a text of one line."""
+    at, n = F.instr(text, "\n"), F.char_length(text)
+    return F.when((at > 0) & (at < n), (n - at) / n).otherwise(F.lit(1.0))
+
+
 def pack(docs: DataFrame, vocabulary: str | None = None, tokens: int = 2048, segments: int = 512, loss_tokens: int | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", loss_col: str | None = None, cutting: bool = True) -> DataFrame:
     """Pieces of every document, each with its sequence and offset there.
 

@@ -7,7 +7,7 @@ label 1. The prior is estimated by best bin: a classifier of P against U ranks b
 share above a threshold (with a bound for sampling error) is the share of positives in U.
 
 Features are shape statistics of the whole text, one Arrow pass. The model is fitted on the driver from at most
-`most_positive` and `most_unlabelled` feature rows, chosen by a hash of the id: a bound, not a share.
+`most_positive` and `most_unlabelled` feature rows, those of the least hashes: a bound, not a share.
 
 Defined cases: null text is empty text, which has a score like others; null ids are never labelled; of several labels of an
 id the greatest counts; without positives or unlabelled rows every score is the prior guess 0.5.
@@ -173,14 +173,15 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int
 
 
 def _bounded(rows: DataFrame, most: int) -> np.ndarray:
-    """At most `most` feature rows, those of the least hashes, in a fixed order."""
+    """At most `most` feature rows, those of the least hashes, in a fixed order. Of a larger table only little more than these
+    pass the filter on the hash, so the sort that follows is small; it can't come out empty."""
     n = rows.count()
-    part = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20))
-    rows = rows.select(part.alias("part"), "doc_id", "f")
+    rows = rows.select(F.shiftrightunsigned(F.xxhash64("doc_id", "f"), 12).alias("part"), "doc_id", "f")
     if n > most:
-        rows = rows.filter(F.col("part") < int((1 << 20) * most / n))
-    got = sorted((r["part"], -1 if r["doc_id"] is None else r["doc_id"], r["f"]) for r in rows.limit(most).collect())
-    return np.array([r[2] for r in got], dtype=np.float64).reshape(-1, WIDTH)
+        rows = rows.filter(F.col("part") < F.lit(int((1 << 52) * min(1.0, (1.2 * most + 1000) / n))))
+    got = rows.orderBy("part", "doc_id").limit(most).toArrow()
+    f = got.column("f").combine_chunks()
+    return np.asarray(f.flatten(), dtype=np.float64).reshape(-1, WIDTH)
 
 
 def score(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> DataFrame:

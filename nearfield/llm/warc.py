@@ -2,8 +2,9 @@
 
 write_archive() makes three records a page: the request, the response (or a revisit of an earlier response with the same
 payload), and metadata with the page's id, the last two naming the response's record through WARC-Concurrent-To.
-Archives are written by Spark's text writer, so they go to any store; each file is WARC 1.0 in one gzip stream.
-read_records() parses archives by Content-Length. assemble() brings the records of a capture together through their
+Archives are written by Spark's text writer, so they go to any store; each file is WARC 1.0 in one gzip stream of FILE_BYTES
+or so. read_records() reads such files, those with a gzip member for each record, and plain ones; it inflates piece by piece and
+cuts records by Content-Length, so a task holds a compressed file and one record. assemble() brings the records of a capture together through their
 concurrent-to identifiers: one aggregation, one nested row a capture. resolve() gives revisits the payload that they name by
 digest (profile identical-payload-digest).
 
@@ -11,7 +12,8 @@ Revisits: of pages with equal payloads of at least LEAST_REVISIT bytes, that wit
 
 Defined cases: null html is an empty payload, null url an empty one; a null page_id is written as empty and read as null, and
 comes last in order; rows with one page_id and payload are captures of their own, all responses where theirs is the least;
-line ends in urls are removed; a record cut short or with a wrong digest raises ValueError.
+line ends in urls are removed; a record or gzip member cut short, or a wrong digest, raises ValueError; zero bytes after the
+last gzip member are padding.
 """
 
 from __future__ import annotations
@@ -30,6 +32,9 @@ LEAST_REVISIT = 100
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 BATCH_RECORDS = 500
+FILE_BYTES = 128 << 20
+MOST_RECORDS = 4000
+PIECE = 1 << 20
 RECORDS = "record_id string, type string, concurrent_to string, target_uri string, date string, digest string, page_id long, payload_bytes long, payload_digest string, http_status int, payload binary"
 
 
@@ -66,25 +71,81 @@ def write_archive(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z
     metadata = _record("metadata", ids["metadata"], ids["response"], url, date, "application/warc-fields", [], about)
     end = CRLF + CRLF
     whole = F.concat(request, F.lit(end), F.when(is_first, response).otherwise(revisit), F.lit(end), metadata)
-    rows.select(whole.alias("value")).write.option("lineSep", end).option("compression", "gzip").option("maxRecordsPerFile", 4000).text(path)
-
-
-def parse(data: bytes, payloads: bool = True) -> Iterator[tuple]:
-    """The records of an archive, as rows of RECORDS."""
-    at = 0
-    while at < len(data):
-        split = data.find(b"\r\n\r\n", at)
-        if split < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at byte {at}")
+    mean = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0
+    most = int(max(1, min(MOST_RECORDS, FILE_BYTES // (1000 + mean))))
+    rows.select(whole.alias("value")).write.option("lineSep", end).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
+
+
+def inflate(data) -> Iterator[bytes]:
+    """The content of a file in pieces of bounded size: that of all its gzip members one after the other, or as it is."""
+    view, at = memoryview(data), 0
+    if bytes(view[:2]) != b"\x1f\x8b":
+        for at in range(0, len(view), PIECE):
+            yield bytes(view[at : at + PIECE])
+        return
+    while at < len(view):
+        if view[at] == 0:
+            at += 1
+            continue
+        member, tail = zlib.decompressobj(31), b""
+        while not member.eof:
+            if not tail:
+                tail = bytes(view[at : at + PIECE])
+                at += len(tail)
+            piece = member.decompress(tail, PIECE)
+            if not piece and not tail and not member.eof:
+                raise ValueError("a gzip member is cut short")
+            tail = member.unconsumed_tail
+            if piece:
+                yield piece
+        at -= len(member.unused_data)
+
+
+class _Stream:
+    """Pieces read as one run of bytes."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.held = pieces, bytearray()
+
+    def more(self) -> bool:
+        piece = next(self.pieces, None)
+        if piece is None:
+            return False
+        self.held += piece
+        return True
+
+    def take(self, n: int) -> bytes:
+        while len(self.held) < n and self.more():
+            pass
+        out = bytes(self.held[:n])
+        del self.held[:n]
+        return out
+
+    def until(self, mark: bytes) -> bytes | None:
+        """What stands before the mark, which is passed over; None if there is no mark."""
+        searched = 0
+        while (found := self.held.find(mark, searched)) < 0:
+            searched = max(0, len(self.held) - len(mark) + 1)
+            if not self.more():
+                return None
+        return self.take(found + len(mark))[:found]
+
+
+def parse(data, payloads: bool = True) -> Iterator[tuple]:
+    """The records of an archive's file, as rows of RECORDS."""
+    stream = _Stream(inflate(data))
+    while stream.held or stream.more():
+        top = stream.until(b"\r\n\r\n")
+        if top is None or not top.startswith(b"WARC/"):
+            raise ValueError("no WARC record where one should begin")
         head = {}
-        for line in data[at:split].split(b"\r\n")[1:]:
+        for line in top.split(b"\r\n")[1:]:
             name, _, value = line.partition(b":")
             head[name.decode().lower()] = value.strip().decode("utf-8", "surrogateescape")
-        start, n = split + 4, int(head["content-length"])
-        if start + n > len(data):
+        block = stream.take(int(head["content-length"]))
+        if len(block) < int(head["content-length"]):
             raise ValueError("a record is cut short")
-        block = data[start : start + n]
-        at = start + n + 4
+        stream.take(4)
         kind = head["warc-type"]
         page_id = size = found = status = payload = None
         digest = head.get("warc-payload-digest", "").removeprefix("sha256:") or None
@@ -114,14 +175,13 @@ def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataF
 
         for b in batches:
             for content in b.column(0):
-                data = content.as_buffer()
-                data = zlib.decompress(data, 31) if bytes(data[:2]) == b"\x1f\x8b" else bytes(data)
-                rows = []
-                for r in parse(data, payloads):
+                rows, held = [], 0
+                for r in parse(content.as_buffer(), payloads):
                     rows.append(r)
-                    if len(rows) >= BATCH_RECORDS:
+                    held += len(r[-1] or b"")
+                    if len(rows) >= BATCH_RECORDS or held >= FILE_BYTES // 4:
                         yield made(rows)
-                        rows = []
+                        rows, held = [], 0
                 if rows:
                     yield made(rows)
 

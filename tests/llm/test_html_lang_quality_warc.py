@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -198,3 +199,32 @@ def test_lone_records_and_broken_archives(spark):
         list(warc.parse(record[:-8]))
     with pytest.raises(ValueError, match="no WARC record"):
         list(warc.parse(b"junk\r\n\r\n"))
+
+
+def test_archives_with_a_gzip_member_a_record(spark, tmp_path):
+    import gzip
+
+    df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    warc.write_archive(df, f"{tmp_path}/w")
+    whole = b"".join(b"".join(warc.inflate(f.read_bytes())) for f in sorted((tmp_path / "w").glob("*.gz")))
+    records = re.split(rb"(?=WARC/1.0\r\nWARC-Type: \w+\r\nWARC-Record-ID: <urn)", whole)[1:]
+    assert len(records) == 3 * len(PAGES)
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "a.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records) + bytes(512))
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "a.warc").write_bytes(whole)
+    want = Counter(tuple(r) for r in warc.resolve(warc.assemble(warc.read_records(spark, f"{tmp_path}/w"))).collect())
+    assert sum(want.values()) == len(PAGES)
+    for form in "mp":
+        assert Counter(tuple(r) for r in warc.resolve(warc.assemble(warc.read_records(spark, f"{tmp_path}/{form}"))).collect()) == want
+    with pytest.raises(ValueError, match="member"):
+        list(warc.parse(gzip.compress(records[0])[:-12]))
+    assert [len(x) for x in warc.inflate(gzip.compress(bytes(5 << 20)))] == [1 << 20] * 5
+
+
+def test_training_samples_are_exact_and_never_empty(spark):
+    rows = spark.createDataFrame([(i if i % 3 else None, [float(i % 50 + k) for k in range(quality_pu.WIDTH)]) for i in range(3000)], "doc_id long, f array<float>")
+    for most in (1, 10, 3000, 9000):
+        got = quality_pu._bounded(rows, most)
+        assert got.shape == (min(most, 3000), quality_pu.WIDTH) and (got == quality_pu._bounded(rows.repartition(5), most)).all()
+    assert quality_pu._bounded(rows.limit(0), 10).shape == (0, quality_pu.WIDTH)

@@ -85,6 +85,17 @@ def test_exact_dedup_matches_brute_force(spark):
     assert exact_dedup.dedup_documents(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_a_hot_digest_and_long_texts(spark, monkeypatch):
+    from nearfield.llm import skew
+
+    monkeypatch.setattr(skew, "LEAST_HOT", 20)
+    monkeypatch.setattr(skew, "SALTS", 8)
+    monkeypatch.setattr(exact_dedup, "SHARD_DIGESTS", 50)
+    rows = [(i if i % 7 else None, "Same" if i % 3 else f"text {i % 180}") for i in range(600)] + [(1000, "y" * 5_000_000), (2000, "Y" * 5_000_000)]
+    got = exact_dedup.dedup_documents(docs(spark, rows)).collect()
+    assert Counter(tuple(r) for r in got) == brute_dedup(rows)
+
+
 def test_history_is_asked_before_the_batch(spark):
     old = exact_dedup.text_digests(docs(spark, [(1, "seen"), (2, "also")])).withColumnRenamed("doc_id", "locator").withColumn("n", F.lit(5).cast("long"))
     keys = exact_dedup.text_digests(docs(spark, [(10, "SEEN"), (11, "new"), (12, "new")]))
@@ -92,14 +103,13 @@ def test_history_is_asked_before_the_batch(spark):
     assert got == {10: (1, 5, True), 11: (12, 2, False), 12: (12, 2, False)}
 
 
-TEXTS = ["", " ", "a", " a", "a ", "Hello world", "two  spaces", "tab\tand\nline", "end\n", "\nstart", "a b  c", "it's we'll", "née Ünïcode ça", "<|endoftext|> x", "12 345 6", "日本語 テキスト", "a \n b", "x" * 3000, "!!! ???", "\x1c a\x85 b"]
+TEXTS = ["", " ", "a", " a", "a ", "Hello world", "two  spaces", "tab\tand\nline", "end\n", "\nstart", "a b  c", "it's we'll", "née Ünïcode ça", "<|endoftext|> x", "<|endoftext|>", "hello <|endoftext|> world", "a<|endoftext|>b <|endoftext|><|endoftext|> c", "two  <|endoftext|>", "line\n<|endoftext|>\n", "12 345 6", "日本語 テキスト", "a \n b", "x" * 3000, "!!! ???", "\x1c a\x85 b"]
 
 
 def reference_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_vocabulary())
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -170,9 +180,10 @@ def test_vector_limits_hold_for_whole_examples(spark):
 
 def test_shards_follow_the_batch_too(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup, "SHARD_DIGESTS", 10)
-    asked, lookup = [], exact_dedup.lookup
-    monkeypatch.setattr(exact_dedup, "lookup", lambda batch, index, shards: asked.append(shards) or lookup(batch, index, shards))
+    asked, absorb = [], exact_dedup.absorb
+    monkeypatch.setattr(exact_dedup, "absorb", lambda batch, index, shards: asked.append(shards) or absorb(batch, index, shards))
     rows = [(i, f"text {i}") for i in range(200)] + [(900, "text 7")]
     got = exact_dedup.dedup_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert asked == [20]
+    # 101 distinct digests in the half that is the history, 100 in the batch
+    assert asked == [11]
     assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in got} == {i: (900, 2, i == 900) if i in (7, 900) else (i, 1, True) for i, _ in rows}
