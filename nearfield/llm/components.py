@@ -11,26 +11,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import cut, free
-from nearfield.llm.skew import join_hot
+from nearfield.llm.skew import LEAST_ROWS, join_hot
 
 MOST_ROUNDS = 60
 
 
-def _star(rows: DataFrame, floor: bool) -> tuple[DataFrame, DataFrame]:
+def _star(rows: DataFrame, floor: bool, hubs: bool) -> tuple[DataFrame, DataFrame]:
     """rows(u, v) with m, the least v of u (u itself, if `floor` and it is less); and (u, m)."""
-    least = cut(rows.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least")
-    return join_hot(rows, least.select("u", F.least("u", "m").alias("m") if floor else F.col("m")), "u", counts=least), least
+    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    least = cut(least, "least") if hubs else least
+    made = least.select("u", F.least("u", "m").alias("m") if floor else F.col("m"))
+    return join_hot(rows, made, "u", counts=least) if hubs else rows.join(made, "u"), least
 
 
-def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _large_star(edges: DataFrame, hubs: bool) -> tuple[DataFrame, DataFrame]:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    joined, least = _star(both, True)
+    joined, least = _star(both, True, hubs)
     return joined.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), least
 
 
-def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _small_star(edges: DataFrame, hubs: bool) -> tuple[DataFrame, DataFrame]:
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    joined, least = _star(down, False)
+    joined, least = _star(down, False, hubs)
     moved = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b")
     return moved.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), least
 
@@ -44,12 +46,13 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
     state = _state(now)
     for _ in range(MOST_ROUNDS):
-        wide, one = _large_star(now)
-        wide = cut(wide, "wide")
-        free(now, one)
-        star, two = _small_star(wide)
+        # a table of that size is one task's work, hubs or not
+        hubs = 2 * state[0] > LEAST_ROWS
+        before, (wide, one) = now, _large_star(now, hubs)
+        wide = cut(wide, "wide") if hubs else wide
+        star, two = _small_star(wide, hubs)
         now = cut(star, "stars")
-        free(wide, two)
+        free(before, one, wide, two)
         new = _state(now)
         if new == state:
             break

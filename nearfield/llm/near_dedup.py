@@ -4,16 +4,21 @@
    each, and the low 4 bits of each minimum packed into 64 bytes. Equal sets become one node, so copies cost nothing later.
 2. Band candidates: within a bucket of at most MOST_BUCKET nodes all pairs are compared by counting bits of the packed
    signatures, similarity corrected for chance agreement; pairs that reach the threshold less MARGIN are kept, and of these
-   a spanning forest is emitted. A larger bucket emits one edge a node to its least node. Either way the candidate graph
-   joins all pairs of a bucket that may be links, with fewer edges than nodes.
+   a spanning forest is emitted. A larger bucket emits one edge a node to its least node, if at least half of its nodes are
+   like that one; a large bucket of unlike texts (that share a passage, say) is dealt anew by the next SPREAD bands of each
+   node, where such texts part, up to MOST_DEPTH times. The candidate graph joins all pairs of a bucket that may be links,
+   with few edges.
 3. Candidate components become cells. In a cell, pairs are confirmed on full sets in order of estimated similarity, and pairs
    that are connected already are skipped. Large components are cut into blocks, each with the same few hubs; after that
-   only nodes outside the component's largest confirmed part meet the other blocks. Work is linear in a group's size where
-   the group has a centre, and no task holds more than a block.
-4. Components of confirmed links. Pairs are never expanded, and nothing is collected to the driver.
+   nodes outside the component's largest confirmed part meet the other blocks as signatures, and only nodes that have a
+   likely partner there bring their texts. Work is linear in a group's size where the group has a centre, and no task holds
+   more than a block. A group without one costs a comparison of 64 bytes for each pair of an outside node and another node.
+4. Components of confirmed links. Pairs are never expanded, and nothing is collected to the driver. Joins on keys that many rows
+   share (copies of a text, large groups, hubs) are dealt out (skew.py).
 
 A link of similarity s shares no bucket with probability (1 - s^4)^32: 2e-10 at 0.85, 5e-8 at 0.8. An estimate errs by
-more than MARGIN (over 5 standard deviations) about as rarely.
+more than MARGIN (over 5 standard deviations) about as rarely. A link whose buckets are all large and unlike is missed if none of
+its shared bands is followed by another one within SPREAD, 1e-6 at most.
 
 Defined cases: null text or text without words has the empty set and no links; fewer words than a shingle make one shingle
 of them all; null ids take part but never name a component; repeated rows are equal texts; extra columns are ignored.
@@ -23,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,13 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import cut, mix64, sub_batches, text_buffer
+from nearfield.llm.common import cut, free, mix64, sub_batches, text_buffer
 from nearfield.llm.components import components
+from nearfield.llm.membership import Membership
+from nearfield.llm.skew import join_hot
 
 BANDS, ROWS, BITS = 32, 4, 4
 MINIMA = BANDS * ROWS
 MARGIN = 0.2
-MOST_BUCKET = 512
+MOST_BUCKET, SPREAD, MOST_DEPTH = 512, 8, 6
 BLOCK, HUBS = 128, 16
 BATCH_BYTES = 2 << 20
 _RANDOM = np.random.default_rng(20240607)
@@ -216,14 +224,67 @@ def _then_none(items):
     yield None
 
 
-def _candidates(nodes: DataFrame, least: float) -> DataFrame:
-    rows = nodes.select(F.explode("bands").alias("key"), "node")
-    full = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo")).filter("n > 1")
-    members = cut(rows.join(full, "key"), "members")
-    stars = members.filter((F.col("n") > MOST_BUCKET) & (F.col("node") > F.col("lo"))).select(F.col("node").alias("a"), F.col("lo").alias("b"))
+def _buckets(rows: DataFrame) -> DataFrame:
+    """rows(key, node, ...) of keys with several nodes, with their number n and the least node lo; written."""
+    full = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo")).filter("n > 1"), "full")
+    members = cut(join_hot(rows, full, "key", counts=full), "members")
+    free(full)
+    return members
+
+
+def _likely(rows: DataFrame, least: float) -> DataFrame:
+    """rows(key, signature, other) -> (key, like): whether two signatures may be those of a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            one, two = (_signature_words(b.column(i)) for i in (1, 2))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(estimate(one, two) >= least)], names=["key", "like"])
+
+    return rows.select("key", "signature", "other").mapInArrow(run, "key long, like boolean")
+
+
+def _signature_words(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, MINIMA * BITS // 64)
+
+
+def _stars(members: DataFrame) -> DataFrame:
+    return members.filter((F.col("n") > MOST_BUCKET) & (F.col("node") > F.col("lo"))).select(F.col("node").alias("a"), F.col("lo").alias("b"))
+
+
+def _pairs(members: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     small = members.filter(F.col("n") <= MOST_BUCKET).select("key", "node").join(nodes.select("node", "signature"), "node")
-    small = small.select("key", "node", "signature").repartition("key").sortWithinPartitions("key")
-    return stars.union(_bucket_edges(small, least)).distinct()
+    return _bucket_edges(small.select("key", "node", "signature").repartition("key").sortWithinPartitions("key"), least)
+
+
+def _candidates(nodes: DataFrame, least: float) -> DataFrame:
+    """Edges (a, b) of the candidate graph, written."""
+    parts, made = [], []
+    members = _buckets(nodes.select(F.posexplode("bands").alias("band", "key"), "node"))
+    for depth in range(MOST_DEPTH + 1):
+        parts.append(_pairs(members, nodes, least))
+        big = cut(members.filter(F.col("n") > MOST_BUCKET), "big")
+        made += [members, big]
+        if big.isEmpty():
+            break
+        if depth == MOST_DEPTH:
+            parts.append(_stars(big))
+            break
+        signed = cut(big.select("key", "node", "lo").join(nodes.select("node", "signature"), "node").select("key", "lo", "signature"), "signed")
+        tops = big.select("lo").distinct().join(nodes.select(F.col("node").alias("lo"), F.col("signature").alias("other")), "lo")
+        alike = _likely(join_hot(signed, tops, "lo"), least).groupBy("key").agg((F.avg(F.col("like").cast("double")) >= 0.5).alias("alike"), F.count(F.lit(1)).alias("n"))
+        alike = cut(alike, "alike")
+        judged = cut(join_hot(big, alike.select("key", "alike"), "key", counts=alike), "judged")
+        free(signed)
+        parts.append(_stars(judged.filter("alike")))
+        following = F.array(*[F.get("bands", F.pmod(F.col("band") + j, F.lit(BANDS))) for j in range(1, SPREAD + 1)])
+        parted = judged.filter("NOT alike").select("key", "band", "node").join(nodes.select("node", "bands"), "node")
+        parted = parted.select("node", "band", F.col("key").alias("first"), F.posexplode(following).alias("at", "next"))
+        parted = cut(parted.select("node", F.pmod(F.col("band") + F.col("at") + 1, F.lit(BANDS)).alias("band"), F.xxhash64("first", "at", "next").alias("key")), "spread")
+        members = _buckets(parted)
+        made += [alike, judged, parted]
+    edges = cut(reduce(DataFrame.union, parts).distinct(), "candidates")
+    free(*made)
+    return edges
 
 
 class _Union:
@@ -274,9 +335,15 @@ def confirm_cell(nodes, sets: list[np.ndarray], words: np.ndarray, labels, old:
 
 
 def _confirm(cells: DataFrame, docs: DataFrame, width: int, percent: int, least: float) -> DataFrame:
-    """cells(cell, node, doc_key, set_id, signature, label, old) with the texts of docs -> confirmed edges."""
-    texts = cells.hint("shuffle_hash").join(docs.select("doc_key", "text"), "doc_key")
-    rows = texts.select("cell", "node", "set_id", "signature", "label", "old", "text").repartition("cell").sortWithinPartitions("cell")
+    """cells(cell, node, doc_key, set_id, signature, label, old), written, with the texts of docs -> confirmed edges, written.
+
+    Only texts of these nodes move, each once; that of a hub, which many cells have, is dealt out.
+    """
+    keys = cut(cells.select(F.xxhash64("doc_key").alias("key")).distinct(), "keys")
+    asked = Membership(keys, "key")
+    texts = docs.filter(asked.may_hold(F.xxhash64("doc_key"))).groupBy("doc_key").agg(F.first("text").alias("text"))
+    both = join_hot(cells, texts, "doc_key")
+    rows = both.select("cell", "node", "set_id", "signature", "label", "old", "text").repartition("cell").sortWithinPartitions("cell")
 
     def one(rows: list) -> list:
         known, kept = {}, []
@@ -305,7 +372,42 @@ def _confirm(cells: DataFrame, docs: DataFrame, width: int, percent: int, least:
                 a, z = zip(*edges, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    links = cut(rows.mapInArrow(run, "a long, b long"), "links")
+    free(keys)
+    asked.free()
+    return links
+
+
+def _partners(cells: DataFrame, least: float) -> DataFrame:
+    """cells(cell, node, signature, label, old) -> (cell, node) of the nodes with a likely partner of another part in their cell."""
+
+    def one(rows: list) -> list:
+        words = np.frombuffer(b"".join(r[1] for r in rows), np.uint64).reshape(-1, MINIMA * BITS // 64)
+        label, old = np.array([r[2] for r in rows]), np.array([r[3] for r in rows], bool)
+        found = np.zeros(len(rows), bool)
+        for i in np.flatnonzero(~old):
+            near = (estimate(words[i], words) >= least) & (label != label[i])
+            found |= near
+            found[i] |= near.any()
+        return [rows[i][0] for i in np.flatnonzero(found)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, rows = None, []
+        for b in _then_none(batches):
+            out: list = []
+            if b is None:
+                out += [(cell, n) for n in one(rows)] if rows else []
+            else:
+                for key, *row in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                    if key != cell:
+                        out += [(cell, n) for n in one(rows)] if rows else []
+                        cell, rows = key, []
+                    rows.append(row)
+            if out:
+                names, nodes = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(nodes, pa.int64())], names=["cell", "node"])
+
+    return cells.select("cell", "node", "signature", "label", "old").repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "cell string, node long")
 
 
 def _salted(column: str, seed: int):
@@ -317,46 +419,63 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     100 * intersection >= percent * union."""
     least = percent / 100 - MARGIN
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    docs = docs.withColumn("doc_key", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("~"), F.sha1(F.col("text").cast("binary")))))
+    docs = docs.withColumn("doc_key", F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.xxhash64("text").cast("string")))
     rows = cut(_signatures(docs, width), "signatures")
-    nodes = rows.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min("doc_key").alias("doc_key"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
+    nodes = rows.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min("doc_key").alias("doc_key"), F.first("signature").alias("signature"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    groups = cut(components(_candidates(nodes, least)), "groups")
     facts = nodes.select("node", "doc_key", "set_id", "signature")
-    sized = groups.join(groups.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "label")
-    small = sized.filter(F.col("n") <= BLOCK).select(F.concat(F.lit("s"), F.col("label")).alias("cell"), "node", F.lit(None).cast("long").alias("part"), F.lit(False).alias("old"))
+    narrow = cut(rows.select("doc_id", "n_shingles", "set_id"), "sets")
+    free(rows)
+    candidates = _candidates(nodes, least)
+    groups = cut(components(candidates), "groups")
+    free(candidates)
+    counts = cut(groups.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "counts")
+    sized = cut(join_hot(groups, counts, "label", counts=counts), "sized")
+    free(groups, counts)
+    nothing = F.lit(None).cast("long").alias("label")
+    small = sized.filter(F.col("n") <= BLOCK).select(F.concat(F.lit("s"), F.col("label")).alias("cell"), "node", nothing, F.lit(False).alias("old"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    large = sized.filter(F.col("n") > BLOCK).withColumn("block", F.pmod(_salted("node", 1), blocks).cast("int"))
+    large = cut(sized.filter(F.col("n") > BLOCK).withColumn("block", F.pmod(_salted("node", 1), blocks).cast("int")), "large")
     hub = F.pmod(_salted("node", 2), F.ceil(F.col("n") / HUBS)) == 0
     first = large.select("label", "node", F.explode(F.when(hub, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("block"))).alias("block"))
-    first = first.select(F.concat_ws("/", F.lit("b"), "label", "block").alias("cell"), "node", F.lit(None).cast("long").alias("part"), F.lit(False).alias("old"))
-    cells = small.union(first).join(facts, "node").withColumnRenamed("part", "label")
-    links = cut(_confirm(cells, docs, width, percent, least), "links")
-    if large.limit(1).count():
-        links = cut(links.union(_second_round(large, links, facts, docs, width, percent, least)), "links")
-    parts = components(links)
-    named = parts.join(nodes.select("node", "doc_id"), "node")
-    named = named.join(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label").select("node", "component_id")
-    sets = nodes.join(named, "node", "left").select("set_id", F.coalesce("component_id", "doc_id").alias("component_id"))
-    full = rows.select("doc_id", "n_shingles", "set_id").join(sets, "set_id", "left")
+    first = first.select(F.concat_ws("/", F.lit("b"), "label", "block").alias("cell"), "node", nothing, F.lit(False).alias("old"))
+    cells = cut(small.union(first).join(facts, "node"), "cells")
+    links = _confirm(cells, docs, width, percent, least)
+    free(sized, cells)
+    if not large.isEmpty():
+        more = _second_round(large, links, facts, docs, width, percent, least)
+        links = cut(links.union(more), "links")
+        free(more)
+    parts = cut(components(links), "parts")
+    named = cut(parts.join(nodes.select("node", "doc_id"), "node"), "named")
+    counts = cut(named.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "counts")
+    named = join_hot(named, counts.select("label", "component_id"), "label", counts=counts).select("node", "component_id")
+    sets = cut(nodes.select("node", "set_id", "doc_id", "n").join(named, "node", "left").select("set_id", "n", F.coalesce("component_id", "doc_id").alias("component_id")), "components")
+    free(nodes, large, parts, counts)
+    full = join_hot(narrow, sets.select("set_id", "component_id"), "set_id", "left", counts=sets)
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return full.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def _second_round(large: DataFrame, links: DataFrame, facts: DataFrame, docs: DataFrame, width: int, percent: int, least: float) -> DataFrame:
-    """Nodes of large groups outside their group's largest confirmed part, against all blocks of the group."""
-    parts = components(links).withColumnRenamed("label", "part")
+    """Confirmed edges, written, of nodes of large groups outside their group's largest confirmed part, against all blocks of the group."""
+    parts = cut(components(links).withColumnRenamed("label", "part"), "parts")
     state = cut(large.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")), "state")
     sizes = state.groupBy("label", "part").agg(F.count(F.lit(1)).alias("k"))
-    main = sizes.groupBy("label").agg(F.max(F.struct("k", "part"))["part"].alias("main"))
-    state = state.join(main, "label")
-    outside = state.filter("part <> main").groupBy("label").agg(F.count(F.lit(1)).alias("outside"))
-    state = cut(state.join(outside, "label").withColumn("rows", F.ceil(F.col("outside") / BLOCK).cast("int")), "state")
+    # of a group, its largest part and how many nodes are outside of it
+    main = sizes.groupBy("label").agg(F.max(F.struct("k", "part")).alias("top"), F.sum("k").alias("n"))
+    main = cut(main.select("label", F.col("top.part").alias("main"), (F.col("n") - F.col("top.k")).alias("outside"), "n"), "main")
+    state = join_hot(state, main.filter("outside > 0").select("label", "main", "outside"), "label", counts=main)
+    state = cut(state.withColumn("rows", F.ceil(F.col("outside") / BLOCK).cast("int")), "state")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     cell = F.concat_ws("/", F.lit("r"), "label", "row", "block")
     common = ["node", F.col("part").alias("label")]
     every = state.withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)))
     lone = state.filter("part <> main").withColumn("row", F.pmod(_salted("node", 3), F.col("rows")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
     cells = every.select(cell.alias("cell"), *common, F.lit(True).alias("old")).union(lone.select(cell.alias("cell"), *common, F.lit(False).alias("old")))
-    cells = cells.groupBy("cell", "node", "label").agg(F.min("old").alias("old"))
-    return _confirm(cells.join(facts, "node"), docs, width, percent, least)
+    cells = cut(cells.groupBy("cell", "node", "label").agg(F.min("old").alias("old")).join(facts, "node"), "cells")
+    met = cut(cells.join(_partners(cells, least), ["cell", "node"], "left_semi"), "met")
+    free(parts, main, cells, state)
+    links = _confirm(met, docs, width, percent, least)
+    free(met)
+    return links

@@ -2,7 +2,7 @@
 
 A key is hot if it holds over LEAST_HOT rows and over one in MOST_HOT of them, so there are MOST_HOT hot keys at most (or rows /
 LEAST_HOT, in a small table): a proven bound, and the list of them is broadcast. Rows of a hot key are dealt over SALTS parts, and
-its one row of the other side is repeated for each part.
+its one row of the other side is repeated for each part. A table of up to LEAST_ROWS rows is less than one task's work as it is.
 """
 
 from __future__ import annotations
@@ -10,21 +10,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import cut, free, fresh
+from nearfield.llm.common import fresh
 
-LEAST_HOT, MOST_HOT, SALTS = 256, 10_000, 256
+LEAST_HOT, MOST_HOT, SALTS, LEAST_ROWS = 256, 10_000, 256, 20_000
 
 
 def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """left.join(right, key, how) with how inner or left; right has distinct keys. left is a written table; counts(key, n) are
     its rows by key, if they are known (no fewer than there are, and hot ones left in)."""
     total = left.count()
+    if total <= LEAST_ROWS:
+        return left.join(right, key, how)
     counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
     # rows of a null key join nothing
-    hot = cut(counts.filter((F.col("n") > max(LEAST_HOT, total // MOST_HOT)) & F.col(key).isNotNull()).select(key), "hot")
-    if hot.isEmpty():
-        free(hot)
+    found = counts.filter((F.col("n") > max(LEAST_HOT, total // MOST_HOT)) & F.col(key).isNotNull()).select(key).toArrow()
+    if not found.num_rows:
         return left.join(right, key, how)
+    hot = left.sparkSession.createDataFrame(found)
     flag, salt = fresh([*left.columns, *right.columns], "hot", "salt")
     marked = F.broadcast(hot.withColumn(flag, F.lit(True)))
     # the salt is a row's place, so equal rows are dealt out, too

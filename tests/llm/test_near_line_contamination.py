@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from nearfield.llm import components as cc
 from nearfield.llm import decontaminate, line_dedup, near_dedup, registry
@@ -83,6 +84,33 @@ def test_a_large_group_is_cut_into_blocks(spark, monkeypatch):
     assert Counter(tuple(r) for r in got) == brute_near(rows, 3, 85)
 
 
+def test_unlike_texts_that_share_a_passage_make_no_group(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "MOST_BUCKET", 64)
+    rng = random.Random(9)
+    passage = " ".join("p%d" % i for i in range(60))
+    rows = [(i, passage + " " + " ".join("x%d" % rng.randrange(10**9) for _ in range(55))) for i in range(2000)]
+    rows += [(10_000 + i, rows[i][1] + " end") for i in range(0, 2000, 40)]
+    bucketed = near_dedup._signatures(spark.createDataFrame([(i, str(i), t) for i, t in rows], "doc_id long, doc_key string, text string"), 3)
+    nodes = near_dedup.cut(bucketed.select(F.monotonically_increasing_id().alias("node"), "signature", "bands"), "nodes")
+    sizes = near_dedup._buckets(nodes.select(F.posexplode("bands").alias("band", "key"), "node"))
+    assert sizes.agg(F.max("n")).first()[0] > 64
+    assert near_dedup._candidates(nodes, 0.65).count() < 500
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs(spark, rows), 3, 85).collect()}
+    assert got == {i: i - 10_000 if i >= 10_000 else i for i, _ in rows}
+
+
+def test_copies_and_hubs_are_dealt_out(spark, monkeypatch):
+    from nearfield.llm import skew
+
+    monkeypatch.setattr(skew, "LEAST_HOT", 8)
+    monkeypatch.setattr(skew, "SALTS", 4)
+    monkeypatch.setattr(skew, "LEAST_ROWS", 0)
+    monkeypatch.setattr(cc, "LEAST_ROWS", 0)
+    rows = near_rows(60, 5) + ODD + [(20_000 + i if i % 2 else None, "one text that is here many times over") for i in range(200)] + [(30_000, "z" * 3_000_000)]
+    got = near_dedup.near_duplicates(docs(spark, rows), 3, 85).collect()
+    assert Counter(tuple(r) for r in got) == brute_near(rows, 3, 85)
+
+
 def test_near_dedup_of_an_empty_table(spark):
     assert near_dedup.near_duplicates(docs(spark, ODD).limit(0)).count() == 0
 

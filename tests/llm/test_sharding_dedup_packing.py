@@ -90,6 +90,7 @@ def test_a_hot_digest_and_long_texts(spark, monkeypatch):
 
     monkeypatch.setattr(skew, "LEAST_HOT", 20)
     monkeypatch.setattr(skew, "SALTS", 8)
+    monkeypatch.setattr(skew, "LEAST_ROWS", 0)
     monkeypatch.setattr(exact_dedup, "SHARD_DIGESTS", 50)
     rows = [(i if i % 7 else None, "Same" if i % 3 else f"text {i % 180}") for i in range(600)] + [(1000, "y" * 5_000_000), (2000, "Y" * 5_000_000)]
     got = exact_dedup.dedup_documents(docs(spark, rows)).collect()
