@@ -5,11 +5,13 @@ has fewer words. A window is filed under its longest word, which is rarely a com
 each probe that finds a filed word compares the whole window in place. So one hash probe is made for each training word, and
 nothing but verified hits leaves the scan; they are grouped by document afterwards.
 
-The window table is broadcast up to BROADCAST_WINDOWS rows, which are counted first; a larger benchmark is joined by shuffle.
+The window table is broadcast up to BROADCAST_BYTES, which are measured first. A larger benchmark is joined by shuffle: seeds and
+places move, not texts; candidates are grouped by document, meet its text once, are sifted there by the window's hash, and what
+is left is compared with the window word by word.
 
 Defined cases: null text has no words, so no hits; a document is known by doc_id and text, so repeated rows get equal results
 and null ids are told apart by text; null item ids can hit but are not listed; items without words give no window; extra
-columns are kept by decontaminate() and ignored by measure().
+columns, whatever their names, are kept by decontaminate() and ignored by measure().
 """
 
 from __future__ import annotations
@@ -17,11 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import ascii_lower
+from nearfield.llm.common import ascii_lower, cut, free, fresh
+from nearfield.llm.membership import Membership
 
 WINDOW = 10
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BROADCAST_WINDOWS = 500_000
+BROADCAST_BYTES = 64 << 20
 
 
 def words(text: Column) -> Column:
@@ -41,20 +44,43 @@ def windows(items: DataFrame, length: int = WINDOW) -> DataFrame:
 def hits(docs: DataFrame, items: DataFrame, length: int = WINDOW) -> DataFrame:
     """One row for each distinct (doc_id, text): doc_id, text_hash, copies, n_words, spans (start, width of each window that
     occurs, from 0), item_ids."""
-    table = windows(items, length)
-    if table.count() <= BROADCAST_WINDOWS:
-        table = F.broadcast(table)
+    table = cut(windows(items, length), "windows")
+    # an entry's fields, and 16 bytes a word besides its letters
+    size = table.agg(F.sum(64 + 16 * F.col("width") + F.octet_length(F.array_join("window", "")))).first()[0] or 0
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
-    rows = rows.select("doc_id", "text_hash", "w", F.size("w").cast("long").alias("n_words"), F.posexplode(F.concat(F.array(F.lit("")), "w")).alias("at", "word"))
+    rows = rows.select("doc_id", "text_hash", "w", F.size("w").cast("long").alias("n_words"))
     # place 0 is a mark that keeps a document without hits; word i of the text is at place i + 1
-    found = rows.join(table, rows.word == table.seed, "left").withColumn("start", F.col("at") - 1 - F.col("seed_at"))
-    occurs = F.col("seed").isNotNull() & (F.col("at") > 0) & (F.col("start") >= 0) & (F.slice("w", F.greatest("start", F.lit(0)) + 1, F.coalesce("width", F.lit(0))) == F.col("window"))
-    found = found.select("doc_id", "text_hash", "n_words", (F.col("at") == 0).alias("mark"), F.when(occurs, F.struct("start", "width")).alias("span"), F.when(occurs, F.col("item_id")).alias("item_id")).filter("mark OR span IS NOT NULL")
+    places = F.posexplode(F.concat(F.array(F.lit("")), "w")).alias("at", "word")
+    if size <= BROADCAST_BYTES:
+        rows = rows.select("*", places)
+        found = rows.join(F.broadcast(table), rows.word == table.seed, "left").withColumn("start", F.col("at") - 1 - F.col("seed_at"))
+        occurs = F.col("seed").isNotNull() & (F.col("at") > 0) & (F.col("start") >= 0) & (F.slice("w", F.greatest("start", F.lit(0)) + 1, F.coalesce("width", F.lit(0))) == F.col("window"))
+        found = found.select("doc_id", "text_hash", "n_words", (F.col("at") == 0).alias("mark"), F.when(occurs, F.struct("start", "width")).alias("span"), F.when(occurs, F.col("item_id")).alias("item_id")).filter("mark OR span IS NOT NULL")
+    else:
+        found = _found_by_shuffle(rows, table)
     return found.groupBy("doc_id", "text_hash", "n_words").agg(
         F.sum(F.col("mark").cast("long")).alias("copies"), F.collect_set("span").alias("spans"), F.collect_set("item_id").alias("item_ids")
     )
 
 
+def _found_by_shuffle(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """rows(doc_id, text_hash, w, n_words) against any number of windows: doc_id, text_hash, n_words, mark, span, item_id."""
+    asked = cut(table.select("seed", "seed_at", "width", F.xxhash64("window").alias("id")).distinct(), "seeds")
+    place = rows.select("doc_id", "text_hash", "n_words", F.posexplode("w").alias("at", "seed"))
+    near = place.join(asked, "seed").withColumn("start", F.col("at") - F.col("seed_at")).filter("start >= 0 AND start + width <= n_words")
+    near = cut(near.select("doc_id", "text_hash", "start", "width", "id").distinct(), "near")
+    held = near.groupBy(F.xxhash64("doc_id", "text_hash").alias("doc")).agg(F.collect_list(F.struct("start", "width", "id")).alias("near"))
+    # texts of one id and hash are equal and give the same answer
+    texts = rows.groupBy(F.xxhash64("doc_id", "text_hash").alias("doc"), "doc_id", "text_hash", "n_words").agg(F.first("w").alias("w"))
+    sifted = texts.join(held, "doc").select("doc_id", "text_hash", "n_words", F.explode(F.transform("near", lambda x: F.struct(x["start"].alias("start"), x["width"].alias("width"), x["id"].alias("id"), F.slice("w", x["start"] + 1, x["width"]).alias("window")))).alias("x"))
+    sifted = sifted.filter(F.xxhash64("x.window") == F.col("x.id")).select("doc_id", "text_hash", "n_words", "x.*")
+    hit = sifted.drop("width").join(table.withColumn("id", F.xxhash64("window")), ["id", "window"])
+    hit = cut(hit.select("doc_id", "text_hash", "n_words", F.lit(False).alias("mark"), F.struct("start", "width").alias("span"), "item_id"), "hits")
+    free(asked, near)
+    nothing = hit.schema["span"].dataType
+    return hit.union(rows.select("doc_id", "text_hash", "n_words", F.lit(True), F.lit(None).cast(nothing), F.lit(None).cast(hit.schema["item_id"].dataType)))
+
+
 def hit_places(spans: Column) -> Column:
     """The distinct word places inside any span."""
     return F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["start"], s["start"] + s["width"] - 1))))
@@ -78,20 +104,24 @@ def measure(docs: DataFrame, items: DataFrame, length: int = WINDOW) -> DataFram
 def decontaminate(docs: DataFrame, items: DataFrame, length: int = WINDOW, remove: str = "documents") -> DataFrame:
     """docs without contaminated documents, or (remove="spans") with the words of every hit and what stands between them cut
     out of their texts. All columns are kept."""
+    if remove not in ("documents", "spans"):
+        raise ValueError("remove is 'documents' or 'spans'")
+    id_, hash_, hit_, text_hash, doc = fresh(docs.columns, "id", "hash", "hit", "text_hash", "doc")
     bad = hits(docs, items, length).filter(F.size("spans") > 0)
-    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    same = lambda left, right: left["doc_id"].eqNullSafe(right["_id"]) & (left["_text_hash"] == right["_hash"])
+    bad = bad.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), hit_places(F.col("spans")).alias(hit_), F.xxhash64("doc_id", "text_hash").alias(doc))
+    bad = cut(bad.drop(hit_) if remove == "documents" else bad, "bad")
+    keyed = docs.withColumn(text_hash, F.xxhash64("text"))
+    # what surely has no hit doesn't move
+    maybe = Membership(bad, doc).may_hold(F.xxhash64("doc_id", text_hash))
+    clear, other, bad = keyed.filter(~maybe).select(*docs.columns), keyed.filter(maybe), bad.drop(doc)
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(text_hash) == F.col(hash_))
     if remove == "documents":
-        keys = bad.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-        return keyed.join(keys, same(keyed, keys), "left_anti").drop("_text_hash")
-    if remove != "spans":
-        raise ValueError("remove is 'documents' or 'spans'")
-    keys = bad.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), hit_places(F.col("spans")).alias("_hit"))
-    both = keyed.join(keys, same(keyed, keys), "left")
+        return clear.union(other.join(bad, same, "left_anti").select(*docs.columns))
+    both = other.join(bad, same, "left")
     # words and the gaps before them, in one array each; a gap goes with the hit word behind it unless that word opens a span
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     parts = F.regexp_extract_all("text", F.lit(rf"({word})"), F.lit(1))
     gaps = F.split("text", word)
-    kept = F.transform(parts, lambda w, i: F.when(F.array_contains("_hit", i), F.when(F.array_contains("_hit", i - 1), F.lit("")).otherwise(F.get(gaps, i))).otherwise(F.concat(F.get(gaps, i), w)))
-    text = F.when(F.col("_hit").isNull(), F.col("text")).otherwise(F.concat(F.array_join(kept, ""), F.coalesce(F.get(gaps, F.size(parts)), F.lit(""))))
-    return both.withColumn("text", text).select(*docs.columns)
+    kept = F.transform(parts, lambda w, i: F.when(F.array_contains(hit_, i), F.when(F.array_contains(hit_, i - 1), F.lit("")).otherwise(F.get(gaps, i))).otherwise(F.concat(F.get(gaps, i), w)))
+    text = F.when(F.col(hit_).isNull(), F.col("text")).otherwise(F.concat(F.array_join(kept, ""), F.coalesce(F.get(gaps, F.size(parts)), F.lit(""))))
+    return clear.union(both.withColumn("text", text).select(*docs.columns))

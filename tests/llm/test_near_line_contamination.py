@@ -191,6 +191,24 @@ def test_hits_match_brute_force(spark):
     assert decontaminate.measure(docs(spark, rows).limit(0), bench).count() == 0
 
 
+def test_hits_of_a_benchmark_too_large_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    rows, items = contaminated(7)
+    rows += [(200, "the of " * 3000), (201, "x y " * 200_000)]
+    items += [(60, "the the the the of"), (61, "the of the of the of the of the of the of")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.measure(docs(spark, rows), bench).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) for r in got) == brute_hits(rows, items)
+
+
+def test_decontamination_keeps_columns_of_any_name(spark):
+    bench = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
+    df = spark.createDataFrame([(1, "x a b c d", 7, 8, 9), (2, "a b", 7, 8, 9)], "doc_id long, text string, _text_hash int, _ID int, hit int")
+    for remove, want in (("documents", {(2, "a b", 7, 8, 9)}), ("spans", {(1, "x ", 7, 8, 9), (2, "a b", 7, 8, 9)})):
+        got = decontaminate.decontaminate(df, bench, remove=remove)
+        assert got.columns == df.columns and {(r[0], r[1].strip() + " " * (r[0] == 1), *r[2:]) for r in got.collect()} == want
+
+
 def test_contaminated_documents_and_spans_go(spark):
     item = "one two three four five six seven eight nine ten eleven"
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")

@@ -83,3 +83,14 @@ def test_near_duplicates_of_null_and_repeated_ids(spark):
     ids = got.pop((3, other), 0) + got.pop((None, other), 0)
     assert ids == 1
     assert got == Counter([(1, near), (2, clean), (4, None), (None, "")])
+
+
+def test_language_reaches_the_output_and_nothing_goes_where_nothing_was_learned(spark):
+    rows = [(i, "the cat and the dog in the house of that man", "en") for i in range(4)] + [(9, "le chat et le chien dans la maison de cet homme", "fr"), (10, "le chien dans la maison de cet homme et le chat", "fr")]
+    make = lambda rows: spark.createDataFrame([(i, t, lang, "s", 1) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    odd = [(20, "the house of the man and that cat", "zz"), (21, "?! 12", "en"), (22, None, "en")]
+    got = {r["doc_id"]: r["lang"] for r in corpus_pipeline.identify_language(spark, make(rows * 2 + odd), "").collect()}
+    assert got[20] in ("en", "zz") and got[10] == "fr" and got[0] == "en" and not {21, 22} & set(got)
+    none = [(i, t, None) for i, t, _ in rows + odd]
+    left = corpus_pipeline.identify_language(spark, make(none), "").collect()
+    assert {r["doc_id"] for r in left} == {i for i, *_ in rows} | {20} and all(r["lang"] is None for r in left)
