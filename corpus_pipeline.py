@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm import decontaminate, langid, line_dedup, near_dedup, packing
-from nearfield.llm.common import cut
+from nearfield.llm.common import cut, free
 from nearfield.llm.membership import Membership
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -21,8 +21,12 @@ def _documents(rows: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language is found (no letters) go."""
-    return _documents(langid.identify(docs, langid.learn(docs)).filter("lang_pred <> 'und'"))
+    """Documents in which no language is found (no letters) go; lang is what was found. Where there is nothing to learn from,
+    documents with a letter stay as they are."""
+    profiles = langid.learn(docs)
+    if not profiles:
+        return _documents(docs.filter(F.col("text").rlike(r"\p{L}")))
+    return _documents(langid.identify(docs, profiles).filter("lang_pred <> 'und'").withColumn("lang", F.col("lang_pred")))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +41,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     rows = _numbered(docs)
     drop = near_dedup.near_duplicates(rows, width=5, percent=80, id_col="_id").filter("NOT kept").select(F.col("doc_id").alias("_id"))
-    return _documents(rows.join(drop, "_id", "left_anti"))
+    drop = cut(drop.withColumn("_key", F.xxhash64("_id")), "drop")
+    # what is surely kept doesn't move
+    maybe = Membership(drop, "_key").may_hold(F.xxhash64("_id"))
+    return _documents(rows.filter(~maybe).union(rows.filter(maybe).join(drop.select("_id"), "_id", "left_anti").select(*rows.columns)))
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -64,7 +71,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    """Loss is borne by what follows a document's first line."""
+    return packing.pack(docs.withColumn("share", packing.response_share(F.col("text"))), loss_col="share")
 
 
 STAGES = [
@@ -82,7 +90,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
-        rows = stage(spark, rows, sf_dir)
+        before, rows = rows, stage(spark, rows, sf_dir)
         if i + 1 < len(STAGES):
             rows = cut(rows, name)
+            free(before)
     return rows
