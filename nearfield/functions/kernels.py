@@ -5,7 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from nearfield.plans.config import prune_ratio, prune_steps
+from nearfield.plans.config import EPSILON, GROUP, WARMUP_SHARE, WARMUP_STEPS, prune_ratio
+
+
+BLOCK_BYTES = 64 << 20
 
 
 def matrix(column: pa.Array, dimensions: int | None = None) -> np.ndarray:
@@ -48,48 +51,77 @@ def exact_pairs(query: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
 
 
 class TopK:
-    """The k nearest rows of each query so far, ties by id."""
+    """The k nearest rows of each query so far, ties by id. Places that are not taken yet have an infinite key."""
 
-    def __init__(self, queries: int, k: int, descending: bool = False):
+    def __init__(self, queries: int, k: int, descending: bool = False, bound: np.ndarray | None = None):
         self.k, self.sign = k, -1.0 if descending else 1.0
-        self.keys = [np.zeros(0)] * queries
-        self.ids = [np.zeros(0, np.int64)] * queries
+        self.keys = np.full((queries, k), np.inf)
+        self.ids = np.full((queries, k), np.iinfo(np.int64).max)
+        self.bound = np.full(queries, np.inf) if bound is None else bound
 
     def worst(self, q: int) -> float:
-        """The distance beyond which a row of query q can't enter; infinite while there are fewer than k."""
-        return float(self.keys[q][-1]) if len(self.keys[q]) == self.k else np.inf
+        """The distance beyond which a row of query q can't enter; infinite while nothing is known."""
+        return float(min(self.keys[q, -1], self.bound[q]))
 
     def offer(self, q: int, ids: np.ndarray, distances: np.ndarray) -> None:
         keys = distances * self.sign
         near = keys <= self.worst(q)
-        if not near.any():
-            return
-        keys, ids = np.concatenate([self.keys[q], keys[near]]), np.concatenate([self.ids[q], ids[near]])
-        order = np.lexsort((ids, keys))[: self.k]
-        self.keys[q], self.ids[q] = keys[order], ids[order]
-
-    def offer_block(self, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, metric: str) -> None:
-        """All queries against a block: one product, then the candidates by subtraction."""
-        rough = pairwise(queries, rows, metric) * self.sign
+        if near.any():
+            self._merge(np.array([q]), ids[near][None], keys[near][None])
+
+    def _merge(self, places: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> None:
+        """ids and keys: a row for each of the places."""
+        keys, ids = np.concatenate([self.keys[places], keys], axis=1), np.concatenate([self.ids[places], ids], axis=1)
+        order = np.lexsort((ids, keys), axis=1)[:, : self.k]
+        self.keys[places], self.ids[places] = np.take_along_axis(keys, order, axis=1), np.take_along_axis(ids, order, axis=1)
+
+    def offer_block(self, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, metric: str, places: np.ndarray | None = None) -> None:
+        """Queries (those at `places` of this object; all, if None) against a block: one product for as many queries as give
+        BLOCK_BYTES of distances, then the candidates by subtraction."""
+        places = np.arange(len(queries)) if places is None else places
+        rows = rows.astype(np.float64)
         take = min(len(ids), self.k + 8)
-        for q in range(len(queries)):
-            near = np.argpartition(rough[q], take - 1)[:take] if take < len(ids) else np.arange(len(ids))
-            if take < len(ids):  # keep all that rounding can't tell from the last
-                edge = rough[q][near].max()
-                near = np.flatnonzero(rough[q] <= edge + 1e-9 * max(1.0, abs(edge)))
-            self.offer(q, ids[near], exact_pairs(queries[q], rows[near], metric))
+        step = max(1, BLOCK_BYTES // (8 * max(len(ids), take * rows.shape[1])))
+        for at in range(0, len(queries), step):
+            self._offer(queries[at : at + step], ids, rows, metric, places[at : at + step], take)
+
+    def _offer(self, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, metric: str, places: np.ndarray, take: int) -> None:
+        rough = pairwise(queries, rows, metric) * self.sign
+        if take < len(ids):
+            chosen = np.argpartition(rough, take - 1, axis=1)[:, :take]
+            edge = np.take_along_axis(rough, chosen, axis=1).max(axis=1)
+            # where rounding can't tell the last from others, all of these are looked at
+            tied = (rough <= (edge + 1e-9 * np.maximum(1.0, np.abs(edge)))[:, None]).sum(axis=1) > take
+            for i in np.flatnonzero(tied):
+                near = np.flatnonzero(rough[i] <= edge[i] + 1e-9 * max(1.0, abs(edge[i])))
+                self.offer(int(places[i]), ids[near], exact_pairs(queries[i], rows[near], metric))
+            if tied.all():
+                return
+            queries, chosen, rough, places = queries[~tied], chosen[~tied], rough[~tied], places[~tied]
+        else:
+            chosen = np.broadcast_to(np.arange(len(ids)), rough.shape)
+        if metric == "l2sq":
+            diff = rows[chosen] - queries.astype(np.float64)[:, None, :]
+            keys = np.einsum("qrd,qrd->qr", diff, diff)
+        else:
+            keys = np.take_along_axis(rough, chosen, axis=1)
+        self._merge(places, ids[chosen], keys)
 
     def rows(self):
-        for q, (keys, ids) in enumerate(zip(self.keys, self.ids, strict=True)):
-            for key, i in zip(keys, ids, strict=True):
-                yield q, int(i), float(key * self.sign)
+        for q, i in zip(*np.nonzero(np.isfinite(self.keys)), strict=True):
+            yield int(q), int(self.ids[q, i]), float(self.keys[q, i] * self.sign)
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, distance) of all that was found."""
+        q, i = np.nonzero(np.isfinite(self.keys))
+        return q, self.ids[q, i], self.keys[q, i] * self.sign
 
 
-def pruned_l2sq(query: np.ndarray, rows: np.ndarray, threshold: float, pruning: str) -> tuple[np.ndarray, np.ndarray, int]:
+def pruned_l2sq(query: np.ndarray, rows: np.ndarray, threshold: float, pruning: str, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray, int]:
     """(places, distances, component reads) of rows that may lie within the threshold.
 
-    Partial sums over growing numbers of dimensions drop rows: beyond the threshold itself ("exact", loses nothing), or
-    beyond threshold * ratio ("adsampling", for rotated data). "none" reads everything.
+    Partial sums over growing numbers of dimensions drop rows, and over 64 at a time once few are left: beyond the threshold
+    itself ("exact", loses nothing), or beyond threshold * ratio ("adsampling", for rotated data). "none" reads everything.
     """
     d = rows.shape[1]
     places = np.arange(len(rows))
@@ -97,17 +129,17 @@ def pruned_l2sq(query: np.ndarray, rows: np.ndarray, threshold: float, pruning:
         diff = rows.astype(np.float64) - query
         return places, (diff * diff).sum(axis=1), rows.size
     partial = np.zeros(len(rows))
-    at = read = 0
-    for to in prune_steps(d):
+    at = read = step = 0
+    while at < d and len(places):
+        to = min(d, at + (WARMUP_STEPS[min(step, len(WARMUP_STEPS) - 1)] if len(places) > WARMUP_SHARE * len(rows) else GROUP))
+        step += 1
         diff = rows[places, at:to].astype(np.float64) - query[at:to]
         partial += (diff * diff).sum(axis=1)
         read += diff.size
         at = to
-        keep = partial <= threshold * (prune_ratio(to, d) if pruning == "adsampling" else 1.0)
+        keep = partial <= threshold * (prune_ratio(to, d, epsilon) if pruning == "adsampling" else 1.0)
         if not keep.all():
             places, partial = places[keep], partial[keep]
-        if not len(places):
-            break
     return places, partial, read
 
 

@@ -30,17 +30,20 @@ def _check(k: int, metric: str) -> None:
         raise ValueError(f"metric must be one of {METRICS}")
 
 
-def query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, matrix) of queries(query_id, embedding), block by block; at most one block is on the driver."""
-    width = queries.select(F.max(F.size("embedding"))).first()[0]
+def query_blocks(queries: DataFrame, dimensions: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, matrix) of queries(query_id, embedding), block by block; at most one block is on the driver. With `dimensions`,
+    queries that are no vectors of that width are a ValueError."""
+    bad = F.lit(False) if dimensions is None else ~F.coalesce(D.valid(F.col("embedding"), dimensions), F.lit(False))
+    width, total, bad = queries.agg(F.max(F.size("embedding")), F.count(F.lit(1)), F.max(bad)).first()
+    if bad:
+        raise ValueError(f"vectors must have {dimensions} components, none of them null or NaN")
     if not width:
         return
     most = max(1, QUERY_BLOCK_BYTES // (8 * width))
-    total = queries.count()
     parts = -(-total // most)
     chosen = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(parts)).alias("_part"))
     for i in range(parts):
-        block = chosen.filter(F.col("_part") == i).select("query_id", "embedding").toArrow().combine_chunks()
+        block = (chosen.filter(F.col("_part") == i) if parts > 1 else queries).select("query_id", "embedding").toArrow().combine_chunks()
         if block.num_rows:
             ids = np.asarray(block.column("query_id").combine_chunks()).astype(np.int64)
             rows = K.matrix(block.column("embedding").combine_chunks(), width)
@@ -49,9 +52,8 @@ def query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def partial_batches(ids: np.ndarray, top: K.TopK) -> pa.RecordBatch:
-    rows = list(top.rows())
-    q, v, d = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array([int(ids[i]) for i in q], pa.int64()), pa.array(v, pa.int64()), pa.array(d, pa.float64())], names=["query_id", "vec_id", "distance"])
+    q, v, d = top.arrays()
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(ids, np.int64)[q]), pa.array(v, pa.int64()), pa.array(d, pa.float64())], names=["query_id", "vec_id", "distance"])
 
 
 def top_k(partial: DataFrame, k: int, descending: bool = False) -> DataFrame:

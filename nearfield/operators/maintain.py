@@ -1,6 +1,7 @@
 """Maintenance of an index: append, delete, compact, split, merge.
 
-Changes come in batches and only add files. Appends add rows, deletes add ids that searches leave out. rebalance() adds the rows
+Changes come in batches and only add files, which count once the metadata names them; a change that failed can be made again.
+Appends add rows of a new generation, deletes add ids that searches leave out up to the generation in use. rebalance() adds the rows
 of clusters out of their size limits once more, under cluster ids that were never used, and the centroid table no longer
 names the old ones; it works in rounds, until all are healthy or the cap of rounds is reached. compact() alone rewrites the
 postings. Clusters out of limits are few and small by construction, so each one fits a task; rows never pass through the driver.
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions import kernels as K
-from nearfield.operators.index import VectorIndex, assign, centroid_frame, encode, group_centroids, meso_frame
+from nearfield.operators.index import VectorIndex, assign, centroid_frame, cluster_means, encode, group_centroids, meso_frame
 from nearfield.operators.prepare import check_vectors, prepare
 from nearfield.plans.config import capacity
 from nearfield.plans.scratch import cut
@@ -55,29 +56,33 @@ def _nearest_clusters(index: VectorIndex, prepared: DataFrame, fraction: float |
     return prepared.select("vec_id", "embedding").mapInArrow(run, "cluster_id long, vec_id long, embedding array<float>")
 
 
-def append(index: VectorIndex, rows: DataFrame, rebalance_after: bool = True) -> None:
-    """Add rows(vec_id, embedding). An id that the index has had, or that comes twice, is a ValueError; so is a bad vector."""
+def append(index: VectorIndex, rows: DataFrame, rebalance_after: bool = True, commit: bool = True) -> None:
+    """Add rows(vec_id, embedding). An id that the index has, or that comes twice, is a ValueError; so is a bad vector."""
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     check_vectors(rows, index.num_dimensions)
-    if rows.groupBy("vec_id").count().filter("count > 1").limit(1).count():
-        raise ValueError("an id comes twice")
-    if rows.join(index._table("postings").select("vec_id"), "vec_id", "left_semi").limit(1).count():
+    if rows.groupBy("vec_id").count().filter("count > 1 OR vec_id IS NULL").limit(1).count():
+        raise ValueError("an id comes twice, or is null")
+    if rows.join(index.postings.select("vec_id"), "vec_id", "left_semi").limit(1).count():
         raise ValueError("an id is in the index")
     placed = encode(_nearest_clusters(index, prepare(rows, index.config), index.config.append_probe_fraction), index.quantizer)
-    index._append("postings", placed)
+    index.meta["gen"] += 1
+    index._append("postings", placed.withColumn("gen", F.lit(index.meta["gen"]).cast("long")))
+    if commit:
+        index._commit()
     if rebalance_after:
         rebalance(index)
 
 
-def delete(index: VectorIndex, row_ids: DataFrame, missing: str = "error", rebalance_after: bool = True) -> None:
+def delete(index: VectorIndex, row_ids: DataFrame, missing: str = "error", rebalance_after: bool = True, commit: bool = True) -> None:
     """Take out row_ids(vec_id). Ids that the index lacks are a ValueError unless missing="ignore"."""
     ids = row_ids.select(F.col("vec_id").cast("long").alias("vec_id")).distinct()
     live = index.postings.select("vec_id")
     if missing != "ignore" and ids.join(live, "vec_id", "left_anti").limit(1).count():
         raise ValueError("an id is not in the index")
-    index._append("deletes", ids.join(live, "vec_id", "left_semi"))
+    index._append("deletes", ids.join(live, "vec_id", "left_semi").withColumn("gen", F.lit(index.meta["gen"]).cast("long")))
     index.meta["has_deletes"] = True
-    index._commit()
+    if commit:
+        index._commit()
     if rebalance_after:
         rebalance(index)
 
@@ -103,14 +108,13 @@ def health(index: VectorIndex) -> DataFrame:
 def _rewrite(index: VectorIndex, old: list[int], moved: DataFrame, ids: np.ndarray, meso: np.ndarray, centroids: np.ndarray) -> None:
     """Put `moved`, all live rows of clusters `old`, in their place. ids, meso, centroids are the clusters from now on; those
     of `old` and new ones get fresh ids, others keep theirs and may gain rows."""
-    moved = cut(moved, "moved")
     gained = {r["cluster_id"]: r["n"] for r in moved.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).collect()}
     before = {r["cluster_id"]: r["made_with"] for r in index.centroids.select("cluster_id", "made_with").collect()}
     kept = set(before) - set(old)
     fresh = {int(i): index.meta["next_cluster"] + k for k, i in enumerate(i for i in ids if int(i) not in kept)}
     names = index.spark.createDataFrame([*fresh.items()] or [(-1, -1)], "cluster_id long, fresh long")
     renamed = moved.join(F.broadcast(names), "cluster_id", "left").select(F.coalesce("fresh", "cluster_id").alias("cluster_id"), "vec_id", "embedding")
-    index._append("postings", encode(renamed, index.quantizer))
+    index._append("postings", encode(renamed, index.quantizer).withColumn("gen", F.lit(index.meta["gen"]).cast("long")))
     index.meta["next_cluster"] += len(fresh)
     index.meta["has_retired"] = True
     out_ids = [fresh.get(int(i), int(i)) for i in ids]
@@ -147,7 +151,11 @@ def split(index: VectorIndex, cluster_ids: list[int]) -> None:
             new_meso.append(int(meso[at]))
             new.append(np.array(r["centroid"], np.float32))
     out_ids, out_meso, out = np.array(new_ids), np.array(new_meso), np.stack(new)
-    moved = _move(index, sorted(touched), out_ids, out_meso, out)
+    moved = cut(_move(index, sorted(touched), out_ids, out_meso, out), "moved")
+    place = {int(i): k for k, i in enumerate(out_ids)}
+    for r in cluster_means(moved).collect():  # the true means of the clusters that gave or took rows
+        mean = np.array(r["mean"])
+        out[place[r["cluster_id"]]] = K.unit(mean[None])[0] if angular else mean
     _rewrite(index, sorted(touched), moved, out_ids, out_meso, out)
 
 
@@ -160,6 +168,7 @@ def merge(index: VectorIndex, cluster_ids: list[int]) -> None:
     left = ~gone
     dissolved = ids[gone].tolist()
     moved = _move(index, dissolved, ids[left], meso[left], centroids[left], meso_of_old=dict(zip(ids.tolist(), meso.tolist(), strict=True)))
+    moved = cut(moved, "moved")
     _rewrite(index, dissolved, moved, ids[left], meso[left], centroids[left])
 
 

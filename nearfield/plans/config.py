@@ -8,9 +8,10 @@ from dataclasses import asdict, dataclass
 MAX_DIMENSIONS = 16_384
 METRICS = ("l2sq", "cosine", "ip")
 INDEX_TYPES = ("ivf_f32", "ivf_u8", "tree_f32", "tree_u8")
-#: Dimensions looked at between pruning checks, until most candidates are gone; then 64 at a time.
+#: Dimensions looked at between pruning checks, until no more than a share of the candidates is left; then 64 at a time.
 WARMUP_STEPS = (16, 16, 32, 32, 32, 32, 64, 64, 64, 64, 128, 128, 128, 128, 256, 256, 512, 1024, 2048)
 GROUP = 64
+WARMUP_SHARE = 0.2
 EPSILON = 1.5
 
 
@@ -32,6 +33,7 @@ class IndexConfig:
     append_probe_fraction: float = 0.125
     train_rows_per_cluster: int = 256
     rotation: str = "dense"
+    epsilon: float = EPSILON
 
     def __post_init__(self) -> None:
         if not 1 <= self.num_dimensions <= MAX_DIMENSIONS:
@@ -50,6 +52,8 @@ class IndexConfig:
             raise ValueError("kmeans_iters must be 1 to 99")
         if self.rotation not in ("dense", "dct", "none"):
             raise ValueError("rotation must be dense, dct or none")
+        if self.epsilon < 0:
+            raise ValueError("epsilon can't be negative")
 
     @property
     def normalizes(self) -> bool:
