@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.common import cut, free, fresh
 from nearfield.llm.membership import Membership
+from nearfield.llm.skew import join_hot
 
 DEPTH = 3
 SIMILAR = 0.8
@@ -65,7 +66,9 @@ def _templates(lines: DataFrame) -> DataFrame:
     shared_leaf.free()
     # a leaf of one distinct line has nothing to compare
     sizes = kinds.groupBy("leaf").agg(F.count(F.lit(1)).alias("size"), F.min("a").alias("_a"), F.max("z").alias("_z")).filter("size > 1 AND _a <> _z")
-    held = cut(kinds.join(sizes.select("leaf", "size"), "leaf"), "held")
+    sizes = cut(sizes.select("leaf", "size", F.col("size").alias("n")), "sizes")
+    held = cut(join_hot(kinds, sizes.select("leaf", "size"), "leaf", counts=sizes), "held")
+    free(sizes)
     token = held.select("line", "leaf", "size", F.posexplode(F.split("masked", " ")).alias("at", "token"))
     token = token.select("line", "size", F.xxhash64("leaf", "at", "token").alias("token"), F.xxhash64("at").alias("blank"))
     fixed = token.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.max("size").alias("_size")).filter("c > 1")
