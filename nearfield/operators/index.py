@@ -141,20 +141,41 @@ class VectorIndex:
         t = self._table("meso").orderBy("meso_id").toArrow().combine_chunks()
         return np.asarray(t.column("meso_id").combine_chunks()), K.matrix(t.column("centroid").combine_chunks(), self.num_dimensions)
 
+    def _ranking(self, flat: bool = False, fraction: float | None = None) -> tuple:
+        """What rank() needs besides rows and nprobe."""
+        ids, centroids, meso = self.centroid_arrays()
+        if not self.config.tree or flat:
+            return ids, centroids, meso, None, None, 0
+        meso_ids, meso_centroids = self.meso_arrays()
+        return ids, centroids, meso, meso_ids, meso_centroids, max(1, int(len(meso_ids) * (self.config.meso_probe_fraction if fraction is None else fraction)))
+
     def rank_clusters(self, rows: np.ndarray, nprobe: int, flat: bool = False, fraction: float | None = None) -> list[np.ndarray]:
         """Cluster ids to probe for each prepared query, nearest first. nprobe 0 or more than there are: all."""
-        ids, centroids, meso = self.centroid_arrays()
-        n = len(ids)
-        nprobe = n if nprobe <= 0 or nprobe > n else nprobe
-        distances = K.pairwise(rows, centroids, "l2sq")
-        if self.config.tree and not flat and nprobe < n // 2:
-            meso_ids, meso_centroids = self.meso_arrays()
-            m = max(1, int(len(meso_ids) * (self.config.meso_probe_fraction if fraction is None else fraction)))
-            near = np.argsort(K.pairwise(rows, meso_centroids, "l2sq"), axis=1, kind="stable")[:, :m]
-            for q, chosen in enumerate(near):
-                distances[q, ~np.isin(meso, meso_ids[chosen])] = np.inf
-        order = np.argsort(distances, axis=1, kind="stable")[:, :nprobe]
-        return [ids[o[np.isfinite(d[o])]] for o, d in zip(order, distances, strict=True)]
+        return [ids for ids, _ in rank(rows, nprobe, *self._ranking(flat, fraction))]
+
+    def probes(self, queries: DataFrame, nprobe: int = 32, flat: bool = False) -> DataFrame:
+        """query_id, rank, cluster_id, distance of the clusters that a search of queries(query_id, embedding) probes; one Arrow
+        pass with broadcast centroids."""
+        matrix, config = rotation(self.config), self.config
+        sent = self.spark.sparkContext.broadcast((matrix, self._ranking(flat)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matrix, ranking = sent.value
+            for b in batches:
+                found = rank(prepare_rows(K.matrix(b.column(1), config.num_dimensions), config, matrix), nprobe, *ranking)
+                n = [len(ids) for ids, _ in found]
+                none = [np.zeros(0)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.repeat(np.asarray(b.column(0)), n), pa.int64()),
+                        pa.array(np.concatenate([np.arange(1, k + 1) for k in n] or none).astype(np.int32)),
+                        pa.array(np.concatenate([ids for ids, _ in found] or none).astype(np.int64)),
+                        pa.array(np.concatenate([d for _, d in found] or none)),
+                    ],
+                    names=["query_id", "rank", "cluster_id", "distance"],
+                )
+
+        return queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding").mapInArrow(run, "query_id long, rank int, cluster_id long, distance double")
 
     def search(self, queries: DataFrame, k: int, nprobe: int = 32, row_ids: DataFrame | None = None, pruning: str = "exact", probes: DataFrame | None = None, seed: bool = False, epsilon: float | None = None) -> DataFrame:
         """query_id, rank, vec_id, distance of queries(query_id, embedding).
@@ -257,6 +278,20 @@ class VectorIndex:
         return out
 
 
+def rank(rows: np.ndarray, nprobe: int, ids: np.ndarray, centroids: np.ndarray, meso: np.ndarray, meso_ids, meso_centroids, near: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(cluster ids, distances) to probe for each prepared row, nearest first. With meso clusters only those of the `near` nearest
+    ones count, unless half of all clusters or more are asked for."""
+    n = len(ids)
+    nprobe = n if nprobe <= 0 or nprobe > n else nprobe
+    distances = K.pairwise(rows, centroids, "l2sq")
+    if meso_ids is not None and nprobe < n // 2:
+        first = np.argsort(K.pairwise(rows, meso_centroids, "l2sq"), axis=1, kind="stable")[:, :near]
+        for q, chosen in enumerate(first):
+            distances[q, ~np.isin(meso, meso_ids[chosen])] = np.inf
+    order = np.argsort(distances, axis=1, kind="stable")[:, :nprobe]
+    return [(ids[o[np.isfinite(d[o])]], d[o[np.isfinite(d[o])]]) for o, d in zip(order, distances, strict=True)]
+
+
 def load_index(spark: SparkSession, path: str) -> VectorIndex:
     """The index in a folder; its metadata tells the type."""
     try:

@@ -7,19 +7,22 @@ the index is checked by invariants in the tests and by recall columns here.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.functions import distance as D
 from nearfield.functions import kernels
 from nearfield.operators import evaluate, exact, maintain
+from nearfield.operators import index as index_of
 from nearfield.operators.index import IndexConfig, VectorIndex, build, load_index
 from nearfield.operators.prepare import Quantizer, prepare
 from nearfield.plans import config as C
 from nearfield.plans.scratch import cut, scratch_path
+from nearfield.sources import vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -229,22 +232,16 @@ SELECT query_id, rank::INT AS rank, vec_id, distance FROM (SELECT *, row_number(
 )
 def knn_u8_exact(spark, d):
     v = _vectors(spark, d)
-    q = Quantizer.fit(v)
-    codes = v.withColumn("embedding", D.quantize(F.col("embedding"), q.base, q.scale))
-    found = exact.knn(_asked(codes), codes, K)
-    return found.select("query_id", "rank", "vec_id", F.col("distance").cast("long").alias("distance"))
+    codes = _codes(v)
+    return exact.knn(_asked(codes), codes, K).withColumn("distance", F.col("distance").cast("long"))
 
 
-@query(f"SELECT a.vec_id AS query_id, b.vec_id, round({_L2.replace('range(1, 65)', 'range(1, 17)')}, 6) AS partial FROM (SELECT vec_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0) a, (SELECT vec_id, embedding AS v FROM embeddings) b WHERE b.vec_id % 50 = 1")
-def partial_l2_prefix(spark, d):
-    v = _vectors(spark, d)
-    other = v.filter("vec_id % 50 = 1").select("vec_id", F.col("embedding").alias("e"))
-    return _asked(v).join(other).select("query_id", "vec_id", F.round(D.partial_l2sq(F.col("embedding"), F.col("e"), 0, 16), 6).alias("partial"))
+_L2_16 = _L2.replace("range(1, 65)", "range(1, 17)")
 
 
-@query()
-def partial_l2_prefix_all(spark, d):
-    """As partial_l2_prefix, of each query and every vector. The SQL of that query has one fiftieth of the vectors."""
+@query(f"SELECT a.vec_id AS query_id, b.vec_id, round({_L2_16}, 6) AS partial FROM (SELECT vec_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0) a, (SELECT vec_id, embedding AS v FROM embeddings) b")
+def partial_l2_prefix(spark, d):
+    """The distance over the first 16 dimensions of each query and every vector."""
     v = _vectors(spark, d).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("e"))
     out = spark.createDataFrame([], "query_id long, vec_id long, partial double")
     for ids, rows in exact.query_blocks(_asked(_vectors(spark, d))):
@@ -254,6 +251,71 @@ def partial_l2_prefix_all(spark, d):
     return out
 
 
+partial_l2_prefix_all = partial_l2_prefix
+
+
+def _u8_knn(distance: str, order: str, dims: int = 64) -> str:
+    return f"""WITH c AS ({_CODES}), p AS (SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(range(1, {dims + 1}), lambda i: {distance}))::BIGINT AS distance
+FROM c a, c b WHERE a.vec_id % 50 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance {order}, vec_id) AS rank FROM p) WHERE rank <= 10"""
+
+
+def _codes(v: DataFrame, dims: int = 64) -> DataFrame:
+    q = Quantizer.fit(v)
+    return v.withColumn("embedding", F.slice(D.quantize(F.col("embedding"), q.base, q.scale), 1, dims))
+
+
+@query(_u8_knn("a.code[i] * b.code[i]", "DESC"))
+def knn_u8_ip(spark, d):
+    codes = _codes(_vectors(spark, d))
+    return exact.knn(_asked(codes), codes, K, "ip").withColumn("distance", F.col("distance").cast("long"))
+
+
+@query(_u8_knn("(a.code[i] - b.code[i]) * (a.code[i] - b.code[i])", "ASC", 16))
+def knn_u8_partial(spark, d):
+    codes = _codes(_vectors(spark, d), 16)
+    return exact.knn(_asked(codes), codes, K).withColumn("distance", F.col("distance").cast("long"))
+
+
+@query(_knn_sql(_L2_16))
+def knn_partial_prefix(spark, d):
+    v = _vectors(spark, d).withColumn("embedding", F.slice("embedding", 1, 16))
+    return _shown(exact.knn(_asked(v), v, K))
+
+
+@query("SELECT vec_id, i::INT AS dim, (CASE WHEN i % 3 = 0 THEN -1 ELSE 1 END * embedding[i + 1])::FLOAT AS value FROM (SELECT *, unnest(range(64)) AS i FROM embeddings)")
+def flip_signs(spark, d):
+    signs = F.transform(F.sequence(F.lit(0), F.lit(DIMS - 1)), lambda i: F.when(i % 3 == 0, F.lit(-1.0)).otherwise(F.lit(1.0)).cast("float"))
+    return _vectors(spark, d).select("vec_id", F.posexplode(D.flip_signs(F.col("embedding"), signs)).alias("dim", "value"))
+
+
+#: Shares of the vectors that pass a filter.
+SELECTIVITIES = (0.0001, 0.001, 0.01, 0.1, 0.5, 0.9, 0.99)
+
+
+@query(" UNION ALL ".join(f"SELECT {p}::DOUBLE AS selectivity, * FROM ({_knn_sql(_L2, f'b.vec_id * 7919 % 10000 < {round(p * 10000)}')})" for p in SELECTIVITIES))
+def knn_selectivities(spark, d):
+    v = _vectors(spark, d)
+    parts = [_shown(exact.knn(_asked(v), v, K, where=F.col("vec_id") * 7919 % 10000 < round(p * 10000))).withColumn("selectivity", F.lit(p)) for p in SELECTIVITIES]
+    return reduce(DataFrame.union, parts)
+
+
+@query(_knn_sql(_L2))
+def results_as_csv(spark, d):
+    v = _vectors(spark, d)
+    path = scratch_path(spark, "csv")
+    vectors.write_results(_shown(exact.knn(_asked(v), v, K)), path)
+    return spark.read.schema("query_id long, rank int, vec_id long, distance double").option("header", True).csv(path)
+
+
+@query(_knn_sql(_L2))
+def truth_saved_and_read(spark, d):
+    v = _vectors(spark, d)
+    path = scratch_path(spark, "truth")
+    vectors.write_truth(_shown(exact.knn(_asked(v), v, K)), path)
+    return spark.read.parquet(path)
+
+
 # --- rules ----------------------------------------------------------------------------------------------------------
 
 
@@ -284,33 +346,27 @@ _TO_C = "list_sum(list_transform(range(1, 65), lambda i: pow(v[i]::DOUBLE - c[i]
 _NEAREST = f"SELECT vec_id, cluster_id, dc FROM (SELECT vec_id, cluster_id, {_TO_C} AS dc FROM (SELECT vec_id, embedding AS v FROM embeddings), ({_MEANS})) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY dc, cluster_id) = 1"
 
 
-def _label_means(v: DataFrame) -> DataFrame:
-    parts = v.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"])
-    return parts.groupBy("label").agg(ordered.alias("c")).select(F.col("label").alias("cluster_id"), "c")
-
-
-def _assigned(v: DataFrame) -> DataFrame:
-    """Each vector with its nearest label mean; the means are one row a label."""
-    pairs = v.join(F.broadcast(_label_means(v))).withColumn("dc", D.l2sq(F.col("embedding"), F.col("c")))
-    best = pairs.groupBy("vec_id").agg(F.min(F.struct("dc", "cluster_id")).alias("b"))
-    return best.select("vec_id", F.col("b.cluster_id").alias("cluster_id"), F.col("b.dc").alias("dc"))
+def _label_index(spark: SparkSession, d: str, kind: str = "ivf_f32") -> VectorIndex:
+    """An index whose clusters are about the means of the labels, so that SQL knows them."""
+    v = _vectors(spark, d)
+    means = index_of.cluster_means(v.select(F.col("label").alias("cluster_id"), "embedding")).orderBy("cluster_id").collect()  # a row a label
+    return build(v, _config(kind, rotation="none", normalize=False, meso_probe_fraction=1.0), centroids=np.array([r["mean"] for r in means]))
 
 
-def _probed(v: DataFrame, n: int) -> DataFrame:
-    pairs = _asked(v).join(F.broadcast(_label_means(v))).withColumn("dc", D.l2sq(F.col("embedding"), F.col("c")))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("dc", "cluster_id"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= n).select("query_id", "rank", "cluster_id", "dc", "embedding")
+def _placed(index: VectorIndex) -> DataFrame:
+    return index.postings.select(F.col("cluster_id").cast("int").alias("cluster_id"), "vec_id", "embedding")
 
 
 @query(f"SELECT vec_id, cluster_id, round(dc, 6) AS dc FROM ({_NEAREST})")
 def nearest_centroid_assign(spark, d):
-    return _assigned(_vectors(spark, d)).select("vec_id", "cluster_id", F.round("dc", 6).alias("dc"))
+    index = _label_index(spark, d)
+    near = _placed(index).join(F.broadcast(index.centroids.select(F.col("cluster_id").cast("int").alias("cluster_id"), "centroid")), "cluster_id")
+    return near.select("vec_id", "cluster_id", F.round(D.l2sq(F.col("embedding"), F.col("centroid")), 6).alias("dc"))
 
 
 @query(f"SELECT cluster_id, count(*) AS n FROM ({_NEAREST}) GROUP BY 1")
 def cluster_sizes(spark, d):
-    return _assigned(_vectors(spark, d)).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
+    return _label_index(spark, d).cluster_sizes().filter("n > 0").select(F.col("cluster_id").cast("int").alias("cluster_id"), "n")
 
 
 _PROBES = f"SELECT query_id, cluster_id, v AS q, dc, row_number() OVER (PARTITION BY query_id ORDER BY dc, cluster_id) AS rank FROM (SELECT vec_id AS query_id, v, cluster_id, {_TO_C} AS dc FROM (SELECT vec_id, embedding AS v FROM embeddings WHERE vec_id % 50 = 0), ({_MEANS}))"
@@ -318,7 +374,8 @@ _PROBES = f"SELECT query_id, cluster_id, v AS q, dc, row_number() OVER (PARTITIO
 
 @query(f"SELECT query_id, rank::INT AS rank, cluster_id, round(dc, 6) AS dc FROM ({_PROBES}) WHERE rank <= 3")
 def ivf_probe_topn(spark, d):
-    return _probed(_vectors(spark, d), 3).select("query_id", "rank", "cluster_id", F.round("dc", 6).alias("dc"))
+    found = _label_index(spark, d).probes(_asked(_vectors(spark, d)), 3)
+    return found.select("query_id", "rank", F.col("cluster_id").cast("int").alias("cluster_id"), F.round("distance", 6).alias("dc"))
 
 
 def _ivf_sql(where: str) -> str:
@@ -329,33 +386,64 @@ SELECT query_id, rank::INT AS rank, vec_id, round(distance, 6) AS distance
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM m) WHERE rank <= 10"""
 
 
-def _ivf(v: DataFrame, where: str) -> DataFrame:
-    rows = _assigned(v).select("vec_id", "cluster_id").join(v.filter(where).select("vec_id", F.col("embedding").alias("e")), "vec_id")
-    found = _probed(v, 3).select("query_id", "cluster_id", "embedding").join(rows, "cluster_id")
-    return _shown(exact.top_k(found.select("query_id", "vec_id", D.l2sq(F.col("embedding"), F.col("e")).alias("distance")), K))
+@query(_ivf_sql("true"))
+def ivf_search_label_centroids(spark, d):
+    return _shown(_label_index(spark, d).search(_asked(_vectors(spark, d)), K, nprobe=3))
 
 
 @query(_ivf_sql("true"))
-def ivf_search_label_centroids(spark, d):
-    return _ivf(_vectors(spark, d), "true")
+def ivf_search_of_a_tree(spark, d):
+    """Three probes through the meso level, of which all groups are looked at."""
+    return _shown(_label_index(spark, d, "tree_f32").search(_asked(_vectors(spark, d)), K, nprobe=3, pruning="none"))
+
+
+@query(_ivf_sql("true"))
+def ivf_search_seeded(spark, d):
+    """With a first search of the nearest cluster, whose k-th distance bounds the rest."""
+    return _shown(_label_index(spark, d).search(_asked(_vectors(spark, d)), K, nprobe=3, seed=True))
 
 
 @query(_ivf_sql("label = 3"))
 def ivf_filtered_label_centroids(spark, d):
-    return _ivf(_vectors(spark, d), "label = 3")
+    v = _vectors(spark, d)
+    return _shown(_label_index(spark, d).filtered_search(_asked(v), K, v.filter("label = 3").select("vec_id"), nprobe=3))
+
+
+@query(
+    f"""WITH a AS ({_NEAREST}), m AS (SELECT query_id, vec_id, {_L2} AS distance FROM (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0), a
+  JOIN (SELECT vec_id, embedding AS v FROM embeddings) USING (vec_id) WHERE cluster_id IN (query_id % 10, (query_id + 3) % 10, (query_id // 50) % 10))
+SELECT query_id, rank::INT AS rank, vec_id, round(distance, 6) AS distance
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM m) WHERE rank <= 10"""
+)
+def ivf_given_probes(spark, d):
+    """Clusters that the caller names for each query."""
+    asked = _asked(_vectors(spark, d))
+    named = F.array(F.col("query_id") % 10, (F.col("query_id") + 3) % 10, F.floor(F.col("query_id") / 50) % 10)
+    return _shown(_label_index(spark, d).search(asked, K, probes=asked.select("query_id", F.explode(named).alias("cluster_id"))))
+
+
+_PART = f"SELECT vec_id FROM ({_NEAREST}) WHERE cluster_id = 0 UNION SELECT min(vec_id) AS vec_id FROM ({_NEAREST}) GROUP BY cluster_id"
+
+
+@query(_knn_sql(_L2, f"b.vec_id IN ({_PART})"))
+def ivf_filtered_by_cluster(spark, d):
+    """Of the passing rows all but a few are one whole cluster; of each other cluster there is one."""
+    index, v = _label_index(spark, d), _vectors(spark, d)
+    rows = _placed(index)
+    ids = rows.filter("cluster_id = 0").select("vec_id").union(rows.groupBy("cluster_id").agg(F.min("vec_id").alias("vec_id")).select("vec_id"))
+    return _shown(index.filtered_search(_asked(v), K, ids, nprobe=0))
 
 
 @query(f"SELECT cluster_id, i::INT AS dim, round(avg(embedding[i + 1]::DOUBLE), 6) AS mean FROM (SELECT *, unnest(range(64)) AS i FROM ({_NEAREST}) JOIN embeddings USING (vec_id)) GROUP BY 1, 2")
 def lloyd_one_step(spark, d):
-    v = _vectors(spark, d)
-    rows = _assigned(v).select("vec_id", "cluster_id").join(v, "vec_id").select("cluster_id", F.posexplode("embedding").alias("dim", "x"))
-    return rows.groupBy("cluster_id", "dim").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
+    means = index_of.cluster_means(_placed(_label_index(spark, d)))
+    return means.select(F.col("cluster_id").cast("int").alias("cluster_id"), F.posexplode("mean").alias("dim", "x")).select("cluster_id", "dim", F.round("x", 6).alias("mean"))
 
 
 @query(f"WITH f AS ({_ivf_sql('true')}), t AS ({_knn_sql(_L2)}) SELECT t.query_id, round(count(f.vec_id) / 10.0, 6) AS recall FROM t LEFT JOIN f ON f.query_id = t.query_id AND f.vec_id = t.vec_id GROUP BY 1")
 def recall_at_k(spark, d):
     v = _vectors(spark, d)
-    found = evaluate.recall(_ivf(v, "true"), exact.knn(_asked(v), v, K), K)
+    found = evaluate.recall(_label_index(spark, d).search(_asked(v), K, nprobe=3), exact.knn(_asked(v), v, K), K)
     return found.select("query_id", F.round("recall", 6).alias("recall"))
 
 
@@ -468,7 +556,7 @@ def index_recall_adsampling(spark, d):
     return _recalls(spark, d, "ivf_f32", "adsampling")
 
 
-@query()
+@query(f"SELECT vec_id, round({_NORM.format('embedding')}, 4) AS before, round({_NORM.format('embedding')}, 4) AS after FROM embeddings")
 def rotated_norms(spark, d):
     """Rotation keeps lengths: each vector's length before and after."""
     v = _vectors(spark, d)
@@ -476,9 +564,28 @@ def rotated_norms(spark, d):
     return v.select("vec_id", F.round(D.norm(F.col("embedding")), 4).alias("before")).join(after, "vec_id")
 
 
-@query()
+@query(f"SELECT cluster_id::BIGINT AS cluster_id, count(*) AS n, count(*) // 2 AS least, greatest(floor(count(*) * 1.3)::BIGINT, 256) AS most, 'ok' AS state FROM ({_NEAREST}) GROUP BY 1")
 def index_health(spark, d):
-    return maintain.health(_index(spark, d, "tree_f32"))
+    found = maintain.health(_label_index(spark, d, "tree_f32")).drop("meso_id")
+    return found.withColumns({c: F.col(c).cast("long") for c in ("least", "most")}).filter("n > 0")
+
+
+@query(_knn_sql(_L2))
+def index_tree_saved_and_loaded(spark, d):
+    path = scratch_path(spark, "saved")
+    _index(spark, d, "tree_f32", rotation="none", normalize=False).save(path)
+    return _shown(load_index(spark, path).search(_asked(_vectors(spark, d)), K, nprobe=0))
+
+
+@query(_knn_sql(_L2))
+def knn_after_delete_and_append(spark, d):
+    """Rows that were deleted come again."""
+    v = _vectors(spark, d)
+    index = _index(spark, d, "ivf_f32", rotation="none", normalize=False)
+    gone = v.filter("vec_id % 10 = 3")
+    maintain.delete(index, gone.select("vec_id"), rebalance_after=False)
+    maintain.append(index, gone.select("vec_id", "embedding"))
+    return _shown(index.search(_asked(v), K, nprobe=0))
 
 
 @query()

@@ -229,3 +229,91 @@ def test_filters_reach_the_scan(spark, data):
     q = v.filter("vec_id < 3").select(F.col("vec_id").alias("query_id"), "embedding")
     plan = exact.knn(q, v, 3, where=F.col("label") == 3)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(label), EqualTo(label,3)]" in plan and "WindowGroupLimit" in plan
+
+
+CHANGES = "op string, vec_id long, embedding array<float>, seq long"
+
+
+def small_index(spark, n=60, **options):
+    rows = np.random.default_rng(3).normal(size=(n, 8)).astype(np.float32)
+    return I.build(S.from_matrix(spark, rows), IndexConfig(num_dimensions=8, normalize=False, rotation="none", **options)), rows
+
+
+def nearest_of(spark, index, vector):
+    query = spark.createDataFrame([(0, [float(x) for x in vector])], "query_id long, embedding array<float>")
+    r = index.search(query, 1, nprobe=0).first()
+    return r["vec_id"], r["distance"]
+
+
+def test_streamed_updates_replace_and_reruns_change_nothing(spark):
+    index, rows = small_index(spark)
+    new = [9.0] * 8
+    one = spark.createDataFrame([("append", 5, new, 1), ("delete", 6, None, 2), ("append", 200, [-9.0] * 8, 3)], CHANGES)
+    ingest.apply_batch(index, one, batch_id=0)
+    assert nearest_of(spark, index, new) == (5, 0.0) and nearest_of(spark, index, [-9.0] * 8) == (200, 0.0)
+    again = spark.createDataFrame([("append", 6, [float(x) for x in rows[6]], 4), ("append", 200, [7.0] * 8, 5)], CHANGES)
+    ingest.apply_batch(index, again, batch_id=1)
+    assert nearest_of(spark, index, rows[6])[0] == 6 and nearest_of(spark, index, [7.0] * 8) == (200, 0.0)
+    ingest.apply_batch(I.load_index(spark, index.path), one, batch_id=0)
+    after = I.load_index(spark, index.path)
+    assert nearest_of(spark, after, [7.0] * 8) == (200, 0.0)
+    ids = [r[0] for r in after.postings.select("vec_id").collect()]
+    assert sorted(ids) == [*range(60), 200]
+
+
+def test_a_change_that_fails_leaves_no_trace(spark, monkeypatch):
+    index, rows = small_index(spark)
+    batch = spark.createDataFrame([("append", 300, [1.0] * 8, 1), ("delete", 3, None, 1)], CHANGES)
+
+    def crash(self):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m, pytest.raises(OSError, match="lost"):
+        m.setattr(I.VectorIndex, "_commit", crash)
+        ingest.apply_batch(index, batch, batch_id=4)
+    for state in (index, I.load_index(spark, index.path)):
+        assert sorted(r[0] for r in state.postings.select("vec_id").collect()) == [*range(60)]
+    ingest.apply_batch(index, batch, batch_id=4)
+    assert sorted(r[0] for r in index.postings.select("vec_id").collect()) == [i for i in range(60) if i != 3] + [300]
+
+
+def test_no_index_is_a_clear_error(spark, tmp_path):
+    with pytest.raises(ValueError, match="no index"):
+        I.load_index(spark, f"{tmp_path}/nothing")
+
+
+def test_centroids_of_a_table_too_large_for_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = (rng.normal(size=(40, 16))[rng.integers(0, 40, 4000)] * 4 + rng.normal(size=(4000, 16))).astype(np.float32)
+    prepared = S.from_matrix(spark, rows)
+    config = IndexConfig(num_dimensions=16, normalize=False, rotation="none")
+    near = I.train_centroids(prepared, config, 4000, 120)
+    monkeypatch.setattr(I, "MOST_TRAIN_BYTES", 4 * 16 * 600)
+    taken = []
+    on_driver = I._on_driver
+    monkeypatch.setattr(I, "_on_driver", lambda p, c: taken.append(p.count()) or on_driver(p, c))
+    far = I.train_centroids(prepared, config, 4000, 120)
+    assert far.shape == near.shape == (120, 16) and taken and max(taken) < 400
+    from nearfield.functions import kernels as K
+
+    assert K.nearest(rows, far)[1].mean() < 1.15 * K.nearest(rows, near)[1].mean()
+
+
+@pytest.mark.parametrize(("sizes", "total"), [([10, 0, 5], 7), ([1, 1, 100], 50), ([3, 3, 3], 9), ([5, 5, 5], 2), ([1000, 1, 1], 4)])
+def test_centroids_are_allotted_to_cells(sizes, total):
+    got = I.allot(np.array(sizes), total)
+    assert got.sum() == total and (got <= sizes).all() and (got >= 0).all()
+
+
+def test_facade_facts_and_epsilon(spark):
+    rows = np.random.default_rng(4).normal(size=(80, 8)).astype(np.float32)
+    index = I.IndexIvf(spark, 8, normalize=False, num_clusters=5).build(S.from_matrix(spark, rows))
+    assert sum(index.get_cluster_size(c) for c in range(5)) == 80
+    assert sorted(r[0] for c in range(5) for r in index.get_cluster_row_ids(c).collect()) == [*range(80)]
+    asked = S.from_matrix(spark, rows[:9]).withColumnRenamed("vec_id", "query_id")
+    index.set_nprobe(0)
+    assert found(index.search(asked, 4)) == found(exact.knn(asked, S.from_matrix(spark, rows), 4))
+    loose = index.index.search(asked, 4, nprobe=0, pruning="adsampling", epsilon=50.0)
+    assert found(loose) == found(index.search(asked, 4))
+    with pytest.raises(ValueError, match="epsilon"):
+        IndexConfig(num_dimensions=8, epsilon=-1)
