@@ -228,3 +228,36 @@ def test_training_samples_are_exact_and_never_empty(spark):
         got = quality_pu._bounded(rows, most)
         assert got.shape == (min(most, 3000), quality_pu.WIDTH) and (got == quality_pu._bounded(rows.repartition(5), most)).all()
     assert quality_pu._bounded(rows.limit(0), 10).shape == (0, quality_pu.WIDTH)
+
+
+def test_hostile_and_odd_markup():
+    import time
+
+    for page in ('<a "' * 60_000, "<div '" * 30_000 + ">", "<script " * 60_000, "<!--" * 60_000, "<" * 200_000, "<p>" * 60_000):
+        began = time.perf_counter()
+        html_extract.read_blocks(page)
+        assert time.perf_counter() - began < 6
+    assert text_of('<div>menu</div><div role="main"><div>one</div><p>two</p></div><p>after</p>') == "one\ntwo"
+    assert text_of("<article><p><a href=/x/>word</a> more</p><div/>rest</article><p>out</p>") == "word more\nrest"
+    assert text_of('<article><p title="a > b">in</p><p data-x="never closed>still</p></article>') == "in\nstill"
+
+
+def test_alignment_is_a_longest_common_subsequence_at_any_length():
+    rng = random.Random(11)
+    for _ in range(200):
+        a, b = ([rng.randrange(6) for _ in range(rng.randint(0, 14))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                table[i][j] = table[i + 1][j + 1] + 1 if a[i] == b[j] else max(table[i + 1][j], table[i][j + 1])
+        got = html_extract.shared_places(a, b)
+        rest = iter(b)
+        assert got == sorted(set(got)) and len(got) == table[0][0] and all(a[i] in rest for i in got)
+    a = [rng.randrange(3000) for _ in range(20_000)]
+    assert html_extract.shared_places(a, a[:7000] + [-1] + a[9000:]) == [*range(7000), *range(9000, 20_000)]
+
+
+def test_main_loses_the_lines_of_the_site(spark):
+    page = lambda k: f"<body><div>menu</div><main><p>All rights are with the house.</p><p>own text {k}</p></main></body>"
+    df = spark.createDataFrame([(k, f"http://h.example/a/{k}", page(k)) for k in range(4)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()} == {k: f"own text {k}" for k in range(4)}
