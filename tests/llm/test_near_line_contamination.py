@@ -255,6 +255,20 @@ def test_line_templates_match_sql(spark, monkeypatch):
     assert first[0] == rows[0][1]
 
 
+def test_line_templates_of_a_hot_leaf(spark, monkeypatch):
+    from nearfield.llm import skew
+
+    monkeypatch.setattr(skew, "LEAST_HOT", 8)
+    monkeypatch.setattr(skew, "SALTS", 4)
+    monkeypatch.setattr(skew, "LEAST_ROWS", 0)
+    word = lambda k: "".join("abcdefghij"[int(c)] for c in f"{k:03d}")
+    rows = [(i, f"it was posted by {word(i)} here on this site today\nit was posted {word(i)} {word(i * 7)} {word(i * 3)} {word(i * 9)} end of it all\n{word(i)} is alone") for i in range(111)]
+    df = docs(spark, rows)
+    monkeypatch.setattr(registry, "_read", lambda *_: df)
+    found = Counter(tuple(r) for r in registry.op9_line_templates(spark, "").collect())
+    assert found == oracle("op9_line_templates", rows) and sum(r[2] for r in found) >= 110
+
+
 def test_line_templates_of_nulls_repeats_and_nothing(spark):
     line = "all of this line is known"
     rows = [(1, line), (1, line), (None, line), (2, None), (3, f"{line}\nown words of this one")]
