@@ -5,11 +5,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from nearfield.plans.scratch import cut, free, scratch_path
 
-__all__ = ["ascii_lower", "cut", "free", "fresh", "held_out", "mix64", "scratch_path", "sub_batches", "text_buffer"]
+__all__ = ["ascii_lower", "cut", "free", "fresh", "held_out", "mix64", "scratch_path", "sub_batches", "text_buffer", "without_places"]
 
 
 def fresh(taken: list[str], *names: str) -> list[str]:
@@ -35,6 +36,13 @@ def held_out(doc_id):
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4) == 2
 
 
+def without_places(lines: Column, places: Column) -> Column:
+    """The entries of an array but for those at the given places. Both are bound once, so the work is in proportion."""
+    bound = F.array(F.struct(lines.alias("lines"), places.alias("places")))
+    rest = lambda s: F.transform(F.array_except(F.sequence(F.lit(0), F.size(s["lines"]) - 1), s["places"]), lambda i: F.get(s["lines"], i))
+    return F.flatten(F.transform(bound, rest))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (two xor-shift-multiply rounds), vectorised."""
     x = x.astype(np.uint64, copy=True)

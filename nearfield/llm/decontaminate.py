@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import ascii_lower, cut, free, fresh
+from nearfield.llm.common import ascii_lower, cut, free, fresh, without_places
 from nearfield.llm.membership import Membership
 
 WINDOW = 10
@@ -118,10 +118,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = WINDOW, remov
     if remove == "documents":
         return clear.union(other.join(bad, same, "left_anti").select(*docs.columns))
     both = other.join(bad, same, "left")
-    # words and the gaps before them, in one array each; a gap goes with the hit word behind it unless that word opens a span
+    # gap 0, word 0, gap 1, ...: a hit word goes, and the gap before it too if the word before that is hit; each step is linear
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     parts = F.regexp_extract_all("text", F.lit(rf"({word})"), F.lit(1))
-    gaps = F.split("text", word)
-    kept = F.transform(parts, lambda w, i: F.when(F.array_contains(hit_, i), F.when(F.array_contains(hit_, i - 1), F.lit("")).otherwise(F.get(gaps, i))).otherwise(F.concat(F.get(gaps, i), w)))
-    text = F.when(F.col(hit_).isNull(), F.col("text")).otherwise(F.concat(F.array_join(kept, ""), F.coalesce(F.get(gaps, F.size(parts)), F.lit(""))))
+    pieces = F.flatten(F.zip_with(F.split("text", word), parts, lambda gap, w: F.array(gap, w)))
+    inside = F.array_intersect(hit_, F.transform(hit_, lambda i: i + 1))
+    out = F.concat(F.transform(hit_, lambda i: 2 * i + 1), F.transform(inside, lambda i: 2 * i))
+    text = F.when(F.col(hit_).isNull(), F.col("text")).otherwise(F.array_join(without_places(pieces, out), ""))
     return clear.union(both.withColumn("text", text).select(*docs.columns))

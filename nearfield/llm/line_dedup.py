@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import cut, free, fresh
+from nearfield.llm.common import cut, free, fresh, without_places
 from nearfield.llm.membership import Membership
 from nearfield.llm.skew import join_hot
 
@@ -114,13 +114,6 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     return late
 
 
-def without_places(lines: Column, places: Column) -> Column:
-    """The entries of an array but for those at the given places. Both are bound once, so the work is in proportion."""
-    bound = F.array(F.struct(lines.alias("lines"), places.alias("places")))
-    rest = lambda s: F.transform(F.array_except(F.sequence(F.lit(0), F.size(s["lines"]) - 1), s["places"]), lambda i: F.get(s["lines"], i))
-    return F.flatten(F.transform(bound, rest))
-
-
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with their late recurring lines cut out of text, and n_lines, n_dropped. Order of lines and columns is kept."""
     own = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]

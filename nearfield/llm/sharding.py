@@ -5,7 +5,8 @@ is added competes with its own score only, so rows move into it and nowhere else
 the rows. The choice needs the key and the weights alone: no shuffle, no state.
 
 Defined cases: a null key is the key "null"; null text has no bytes; rows with one key share a shard and get slots in order
-of their content; an empty table gives an empty table; columns of the input that clash with the new ones are replaced.
+of their content; an empty table gives an empty table; extra columns are kept, whatever their names, but for shard and slot,
+which are replaced.
 """
 
 from __future__ import annotations
@@ -15,11 +16,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import cut
+from nearfield.llm.common import cut, fresh
 
 #: Slots are counted in this many buckets a shard, so that no task has a whole shard. The offsets have shards * BUCKETS rows at most.
 BUCKETS = 4096
-BROADCAST_ROWS = 1_000_000
 
 
 def scores(key: Column, weights: Sequence[float]) -> Column:
@@ -53,13 +53,15 @@ def with_slots(rows: DataFrame, by: str, order: Sequence[str]) -> DataFrame:
     rows. The largest unit of work is a bucket, a 4096th of a shard.
     """
     text = F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in order])
-    rows = cut(rows.withColumn("_bucket", F.conv(F.substring(F.md5(text), 1, 3), 16, 10).cast("int")), "slots")
-    counts = rows.groupBy(by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(by, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(by, "_bucket").orderBy(*order)
-    numbered = rows.withColumn("_row", F.row_number().over(inside))
-    return numbered.join(offsets, [by, "_bucket"]).withColumn("slot", (F.col("_offset") + F.col("_row") - 1).cast("long")).drop("_bucket", "_offset", "_row")
+    bucket, n, offset, row = fresh([*rows.columns, "slot"], "bucket", "n", "offset", "row")
+    kept = [c for c in rows.columns if c.lower() != "slot"]
+    rows = cut(rows.withColumn(bucket, F.conv(F.substring(F.md5(text), 1, 3), 16, 10).cast("int")), "slots")
+    counts = rows.groupBy(by, bucket).agg(F.count(F.lit(1)).alias(n))
+    before = Window.partitionBy(by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(by, bucket, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(offset))
+    inside = Window.partitionBy(by, bucket).orderBy(*order)
+    numbered = rows.withColumn(row, F.row_number().over(inside)).join(offsets, [by, bucket])
+    return numbered.select(*kept, (F.col(offset) + F.col(row) - 1).cast("long").alias("slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:

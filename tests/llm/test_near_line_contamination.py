@@ -221,6 +221,14 @@ def test_contaminated_documents_and_spans_go(spark):
     assert decontaminate.measure(decontaminate.decontaminate(df, bench, remove="spans"), bench).filter("contaminated").count() == 0
 
 
+def test_spans_of_a_long_text_go_in_linear_time(spark):
+    item = "one two three four five six seven eight nine ten"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    text = f"{item}; kept, {'own words here. ' * 30_000}{item} and {item}"
+    got = decontaminate.decontaminate(spark.createDataFrame([(1, text)], "doc_id long, text string"), bench, remove="spans").collect()
+    assert got[0]["text"] == f"; kept, {'own words here. ' * 30_000} and "
+
+
 def oracle(name, documents):
     c = duckdb.connect()
     c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")

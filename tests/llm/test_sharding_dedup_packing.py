@@ -55,6 +55,15 @@ def test_shards_of_an_empty_table(spark):
     assert sharding.shard_documents(docs(spark, [(1, "a")]).limit(0)).count() == 0
 
 
+def test_slots_keep_columns_of_any_name(spark):
+    df = spark.createDataFrame([(i, i % 3, -1, i, "r", i) for i in range(50)], "id long, shard int, slot long, _bucket long, _ROW string, _n long")
+    got = sharding.with_slots(df, "shard", ["id"])
+    assert got.columns == ["id", "shard", "_bucket", "_ROW", "_n", "slot"]
+    rows = got.collect()
+    assert {(r["id"], r["shard"], r["_bucket"], r["_ROW"], r["_n"]) for r in rows} == {(i, i % 3, i, "r", i) for i in range(50)}
+    assert all(sorted(r["slot"] for r in rows if r["shard"] == k) == list(range(len(range(k, 50, 3)))) for k in range(3))
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 1000, 5000])
 def test_perfect_hash_is_minimal(n):
     digests = [hashlib.sha256(str(i).encode()).digest() for i in range(n)]
