@@ -12,7 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions import distance as D
@@ -97,6 +97,27 @@ def knn_sql(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2sq"
     return top_k(pairs.select("query_id", "vec_id", D.DISTANCES[metric](F.col("_q"), F.col("_v")).alias("distance")), k, metric == "ip")
 
 
+def register_knn(spark: SparkSession, name: str, view: str, k: int, metric: str = "l2sq") -> None:
+    """A table function for SQL: name(query) gives rank, vec_id, distance of the k nearest of view(vec_id, embedding), also as
+    `FROM queries q, LATERAL name(q.embedding)`. Distances of all pairs are shuffled there, once for each distinct query, so
+    it is for few queries; knn_view() is for many."""
+    _check(k, metric)
+    D.register(spark)
+    function = {"cosine": "cosine_distance"}.get(metric, metric)
+    order = "distance DESC" if metric == "ip" else "distance"
+    pairs = f"SELECT CAST(vec_id AS BIGINT) AS vec_id, {function}(query, embedding) AS distance FROM {view}"
+    ranked = f"SELECT *, row_number() OVER (ORDER BY {order}, vec_id) AS rank FROM ({pairs})"
+    spark.sql(
+        f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(query ARRAY<DOUBLE>) RETURNS TABLE(rank INT, vec_id BIGINT, distance DOUBLE) "
+        f"RETURN SELECT rank, vec_id, distance FROM ({ranked}) WHERE rank <= {int(k)}"
+    )
+
+
+def knn_view(spark: SparkSession, name: str, queries: str, vectors: str, k: int, metric: str = "l2sq") -> None:
+    """The result of knn() over the views queries(query_id, embedding) and vectors(vec_id, embedding) as a view for SQL."""
+    knn(spark.table(queries), spark.table(vectors), k, metric).createOrReplaceTempView(name)
+
+
 def within(queries: DataFrame, vectors: DataFrame, radius: float, metric: str = "l2sq") -> DataFrame:
     """All (query_id, vec_id, distance) with distance below the radius."""
     spark, parts = queries.sparkSession, []

@@ -109,6 +109,32 @@ class VectorIndex:
     def cluster_row_ids(self, cluster_id: int) -> DataFrame:
         return self.postings.filter(F.col("cluster_id") == cluster_id).select("vec_id")
 
+    def cluster_accesses(self, probes: DataFrame) -> DataFrame:
+        """cluster_id, n_accessed, n_inserted, n_deleted of all clusters: the queries of probes(query_id, cluster_id) that probe
+        it, the rows added since the build, and the stored rows that deletes hide."""
+        asked = probes.select("query_id", F.col("cluster_id").cast("long").alias("cluster_id")).distinct()
+        rows, gone = self._table("postings"), self._table("deletes").groupBy("vec_id").agg(F.max("gen").alias("_gen"))
+        hidden = rows.join(gone, "vec_id").filter(F.col("gen") <= F.col("_gen"))
+        counts = [
+            asked.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n_accessed")),
+            rows.filter("gen > 0").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n_inserted")),
+            hidden.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n_deleted")),
+        ]
+        out = self.centroids.select("cluster_id")
+        for one in counts:
+            out = out.join(one, "cluster_id", "left")
+        return out.na.fill(0, ["n_accessed", "n_inserted", "n_deleted"])
+
+    def cluster_filter(self, n: int, one_of_others: bool = False) -> DataFrame:
+        """vec_id of the rows of the n clusters with the least ids, and with one_of_others the least id of each other cluster:
+        filters that agree with the clusters, to measure filtered searches by."""
+        rows = self.postings
+        first = F.broadcast(self.centroids.select("cluster_id").orderBy("cluster_id").limit(n))
+        ids = rows.join(first, "cluster_id", "left_semi").select("vec_id")
+        if one_of_others:
+            ids = ids.union(rows.join(first, "cluster_id", "left_anti").groupBy("cluster_id").agg(F.min("vec_id").alias("vec_id")).select("vec_id"))
+        return ids
+
     def vectors(self) -> DataFrame:
         """vec_id and prepared vector of all live rows (decoded, if the index holds codes)."""
         q = self.quantizer

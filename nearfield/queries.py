@@ -149,6 +149,32 @@ def knn_filtered_tiny(spark, d):
     return _shown(exact.knn(_asked(v), v, 30, where=F.col("vec_id") < 20))
 
 
+@query(_knn_sql(_L2, "b.vec_id IN (SELECT vec_id FROM embeddings ORDER BY md5(vec_id::VARCHAR || ':1'), vec_id LIMIT 100)"))
+def knn_filtered_sample(spark, d):
+    """Among 100 vectors drawn uniformly."""
+    v = _vectors(spark, d)
+    return _shown(exact.knn(_asked(v), v.join(F.broadcast(vectors.sample_ids(v, 100, 1)), "vec_id", "left_semi"), K))
+
+
+@query(_knn_sql(_L2))
+def knn_lateral_sql(spark, d):
+    """Asked in SQL, by a lateral join with a table function."""
+    _vectors(spark, d).createOrReplaceTempView("nearfield_vectors")
+    exact.register_knn(spark, "nearfield_knn", "nearfield_vectors", K)
+    found = spark.sql("SELECT q.vec_id AS query_id, n.* FROM (SELECT vec_id, CAST(embedding AS ARRAY<DOUBLE>) AS embedding FROM nearfield_vectors WHERE vec_id % 50 = 0) q, LATERAL nearfield_knn(q.embedding) n")
+    return _shown(found)
+
+
+@query(_knn_sql(_COS))
+def knn_view_sql(spark, d):
+    """Asked in SQL, of a view over the block scan."""
+    v = _vectors(spark, d)
+    v.createOrReplaceTempView("nearfield_vectors")
+    _asked(v).createOrReplaceTempView("nearfield_asked")
+    exact.knn_view(spark, "nearfield_found", "nearfield_asked", "nearfield_vectors", K, "cosine")
+    return _shown(spark.sql("SELECT * FROM nearfield_found"))
+
+
 @query(_knn_sql(_L2, "false"))
 def knn_filtered_empty(spark, d):
     v = _vectors(spark, d)
@@ -290,13 +316,13 @@ def flip_signs(spark, d):
 
 
 #: Shares of the vectors that pass a filter.
-SELECTIVITIES = (0.0001, 0.001, 0.01, 0.1, 0.5, 0.9, 0.99)
+SELECTIVITIES = (0.0001, 0.000135, 0.00015, 0.001, 0.01, 0.1, 0.2, 0.3, 0.4, 0.5, 0.75, 0.9, 0.95, 0.99)
 
 
-@query(" UNION ALL ".join(f"SELECT {p}::DOUBLE AS selectivity, * FROM ({_knn_sql(_L2, f'b.vec_id * 7919 % 10000 < {round(p * 10000)}')})" for p in SELECTIVITIES))
+@query(" UNION ALL ".join(f"SELECT {p}::DOUBLE AS selectivity, * FROM ({_knn_sql(_L2, f'b.vec_id * 7919 % 1000000 < {round(p * 1000000)}')})" for p in SELECTIVITIES))
 def knn_selectivities(spark, d):
     v = _vectors(spark, d)
-    parts = [_shown(exact.knn(_asked(v), v, K, where=F.col("vec_id") * 7919 % 10000 < round(p * 10000))).withColumn("selectivity", F.lit(p)) for p in SELECTIVITIES]
+    parts = [_shown(exact.knn(_asked(v), v, K, where=F.col("vec_id") * 7919 % 1000000 < round(p * 1000000))).withColumn("selectivity", F.lit(p)) for p in SELECTIVITIES]
     return reduce(DataFrame.union, parts)
 
 
@@ -429,9 +455,13 @@ _PART = f"SELECT vec_id FROM ({_NEAREST}) WHERE cluster_id = 0 UNION SELECT min(
 def ivf_filtered_by_cluster(spark, d):
     """Of the passing rows all but a few are one whole cluster; of each other cluster there is one."""
     index, v = _label_index(spark, d), _vectors(spark, d)
-    rows = _placed(index)
-    ids = rows.filter("cluster_id = 0").select("vec_id").union(rows.groupBy("cluster_id").agg(F.min("vec_id").alias("vec_id")).select("vec_id"))
-    return _shown(index.filtered_search(_asked(v), K, ids, nprobe=0))
+    return _shown(index.filtered_search(_asked(v), K, index.cluster_filter(1, one_of_others=True), nprobe=0))
+
+
+@query(f"SELECT c.cluster_id::BIGINT AS cluster_id, count(query_id) AS n_accessed, 0::BIGINT AS n_inserted, 0::BIGINT AS n_deleted FROM ({_MEANS}) c LEFT JOIN (SELECT * FROM ({_PROBES}) WHERE rank <= 3) p ON p.cluster_id = c.cluster_id GROUP BY 1")
+def cluster_accesses(spark, d):
+    index = _label_index(spark, d)
+    return index.cluster_accesses(index.probes(_asked(_vectors(spark, d)), 3))
 
 
 @query(f"SELECT cluster_id, i::INT AS dim, round(avg(embedding[i + 1]::DOUBLE), 6) AS mean FROM (SELECT *, unnest(range(64)) AS i FROM ({_NEAREST}) JOIN embeddings USING (vec_id)) GROUP BY 1, 2")

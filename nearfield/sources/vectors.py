@@ -85,3 +85,32 @@ def read_truth_json(spark: SparkSession, path: str) -> DataFrame:
 def write_results(rows: DataFrame, path: str) -> None:
     """Append result rows to a folder of CSV files."""
     rows.write.mode("append").option("header", True).csv(path)
+
+
+def sample_ids(rows: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """n vec_ids drawn uniformly, the same ones whatever the partitions: those of the least hashes."""
+    key = F.md5(F.concat_ws(":", F.col("vec_id").cast("string"), F.lit(str(seed))).cast("binary"))
+    return rows.select("vec_id").orderBy(key, "vec_id").limit(n)
+
+
+def share_ids(rows: DataFrame, share: float, seed: int = 0) -> DataFrame:
+    """vec_ids of which each is drawn with a probability, by its hash."""
+    return rows.select("vec_id").filter(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 40)) < round(share * (1 << 40)))
+
+
+def random_vectors(spark: SparkSession, rows: int, dimensions: int, seed: int = 0, groups: int = 0, spread: float = 0.25) -> DataFrame:
+    """vec_id, embedding: normal vectors, or with groups normal clouds around that many centres. A row depends on its id and the
+    seed alone; blocks of 1,024 rows are made in tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres = np.random.default_rng(seed).standard_normal((groups, dimensions)) if groups else None
+        for b in batches:
+            for block in b.column(0).to_pylist():
+                random = np.random.default_rng([seed, block + 1])
+                data = random.standard_normal((1024, dimensions))
+                if centres is not None:
+                    data = centres[random.integers(0, groups, 1024)] + spread * data
+                ids = np.arange(block * 1024, min(rows, (block + 1) * 1024))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), K.lists(data[: len(ids)].astype(np.float32), pa.float32())], names=["vec_id", "embedding"])
+
+    return spark.range(-(-rows // 1024)).mapInArrow(run, "vec_id long, embedding array<float>")
