@@ -8,7 +8,7 @@ import pyarrow as pa
 from nearfield.plans.config import EPSILON, GROUP, WARMUP_SHARE, WARMUP_STEPS, prune_ratio
 
 
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def matrix(column: pa.Array, dimensions: int | None = None) -> np.ndarray:
@@ -38,8 +38,17 @@ def pairwise(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
     qq, xx = (q * q).sum(axis=1), (x * x).sum(axis=1)
     if metric == "cosine":
         scale = np.sqrt(qq)[:, None] * np.sqrt(xx)
-        return np.where(scale == 0, 1.0, np.maximum(1 - product / np.where(scale == 0, 1, scale), 0.0))
-    return np.maximum(qq[:, None] + xx - 2 * product, 0)
+        none = scale == 0
+        scale[none] = 1
+        product /= scale
+        np.subtract(1, product, out=product)
+        np.maximum(product, 0.0, out=product)
+        product[none] = 1.0
+        return product
+    out = qq[:, None] + xx
+    product *= 2
+    out -= product
+    return np.maximum(out, 0, out=out)
 
 
 def exact_pairs(query: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
@@ -86,7 +95,8 @@ class TopK:
             self._offer(queries[at : at + step], ids, rows, metric, places[at : at + step], take)
 
     def _offer(self, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, metric: str, places: np.ndarray, take: int) -> None:
-        rough = pairwise(queries, rows, metric) * self.sign
+        rough = pairwise(queries, rows, metric)
+        rough *= self.sign
         if take < len(ids):
             chosen = np.argpartition(rough, take - 1, axis=1)[:, :take]
             edge = np.take_along_axis(rough, chosen, axis=1).max(axis=1)
