@@ -131,12 +131,18 @@ def within(queries: DataFrame, vectors: DataFrame, radius: float, metric: str =
             ids, rows = sent.value
             for b in batches:
                 x = K.matrix(b.column(1), rows.shape[1])
-                rough = K.pairwise(rows, x, metric)
-                q, v = np.nonzero(rough <= radius + 1e-6)
-                exact = np.concatenate([K.exact_pairs(rows[i], x[v[q == i]], metric) for i in np.unique(q)]) if len(q) else np.zeros(0)
-                good = exact < radius
-                vec = np.asarray(b.column(0))[v]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q][good]), pa.array(vec[good]), pa.array(exact[good])], names=["query_id", "vec_id", "distance"])
+                # as many queries at once as give BLOCK_BYTES of distances
+                step = max(1, K.BLOCK_BYTES // (8 * max(1, len(x))))
+                for at in range(0, len(rows), step):
+                    some = rows[at : at + step]
+                    q, v = np.nonzero(K.pairwise(some, x, metric) <= radius + 1e-6)
+                    if not len(q):
+                        continue
+                    edges = np.flatnonzero(np.diff(q, prepend=-1, append=len(rows)))
+                    exact = np.concatenate([K.exact_pairs(some[q[i]], x[v[i:j]], metric) for i, j in zip(edges[:-1], edges[1:], strict=True)])
+                    good = exact < radius
+                    vec = np.asarray(b.column(0))[v]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at + q[good]]), pa.array(vec[good]), pa.array(exact[good])], names=["query_id", "vec_id", "distance"])
 
         parts.append(vectors.mapInArrow(run, PARTIAL))
     return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], PARTIAL)

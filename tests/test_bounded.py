@@ -40,3 +40,17 @@ def test_top_k_of_many_queries_takes_little_memory(metric):
     assert mb < 80
     if metric != "ip":
         assert (top.ids[:, 0] == np.arange(2500)).all()
+
+
+def test_range_search_of_many_queries_takes_little_memory(spark, monkeypatch):
+    rows = np.random.default_rng(1).normal(size=(8000, 4)).astype(np.float32)
+    monkeypatch.setattr(exact, "query_blocks", lambda q: [(np.arange(2500) * 3, rows[:2500])])
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(8000)), K.lists(rows, pa.float32())], names=["vec_id", "embedding"])
+    context = SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x))
+    queries = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=context), select=lambda *c: None)
+    vectors = SimpleNamespace(select=lambda *c: SimpleNamespace(mapInArrow=lambda run, schema: run(iter([batch]))))
+    got, mb = peak_mb(lambda: list(exact.within(queries, vectors, 0.05)))
+    assert mb < 80
+    got = {(q, v) for b in got for q, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+    far = K.pairwise(rows[:2500], rows, "l2sq")
+    assert got == {(3 * q, v) for q, v in zip(*map(np.ndarray.tolist, np.nonzero(far < 0.05)), strict=True)}
