@@ -177,7 +177,9 @@ class VectorIndex:
 
     def rank_clusters(self, rows: np.ndarray, nprobe: int, flat: bool = False, fraction: float | None = None) -> list[np.ndarray]:
         """Cluster ids to probe for each prepared query, nearest first. nprobe 0 or more than there are: all."""
-        return [ids for ids, _ in rank(rows, nprobe, *self._ranking(flat, fraction))]
+        ranking = self._ranking(flat, fraction)
+        step = max(1, K.BLOCK_BYTES // (8 * max(1, len(ranking[0]))))
+        return [ids for at in range(0, len(rows), step) for ids, _ in rank(rows[at : at + step], nprobe, *ranking)]
 
     def probes(self, queries: DataFrame, nprobe: int = 32, flat: bool = False) -> DataFrame:
         """query_id, rank, cluster_id, distance of the clusters that a search of queries(query_id, embedding) probes; one Arrow
@@ -223,10 +225,12 @@ class VectorIndex:
         epsilon = self.config.epsilon if epsilon is None else epsilon
         for ids, raw in query_blocks(queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding"), self.num_dimensions):
             rows = prepare_rows(raw, self.config, matrix)
-            asked = self._given(probes, ids) if probes is not None else self.rank_clusters(rows, nprobe, flat=row_ids is not None)
+            every = probes is None and not 0 < nprobe < len(self.centroid_arrays()[0])
+            asked = self._given(probes, ids) if probes is not None else None if every else self.rank_clusters(rows, nprobe, flat=row_ids is not None)
             bound = None
-            if seed and any(len(c) > 1 for c in asked):
-                bound = self._bounds(self._scan(postings, ids, rows, [c[:1] for c in asked], k, "none", epsilon), ids, k)
+            if seed and (every or any(len(c) > 1 for c in asked)):
+                first = self.rank_clusters(rows, 1, flat=True) if every else [c[:1] for c in asked]
+                bound = self._bounds(self._scan(postings, ids, rows, first, k, "none", epsilon), ids, k)
             found = self._scan(postings, ids, rows, asked, k, pruning, epsilon, bound)
             parts = found if parts is None else parts.union(found)
         return top_k(parts if parts is not None else self.spark.createDataFrame([], PARTIAL), k)
@@ -249,29 +253,39 @@ class VectorIndex:
             bound[np.searchsorted(ids, r["query_id"])] = r["d"]
         return bound
 
-    def _scan(self, postings: DataFrame, ids: np.ndarray, rows: np.ndarray, probes: list[np.ndarray], k: int, pruning: str, epsilon: float = EPSILON, bound: np.ndarray | None = None) -> DataFrame:
+    def _scan(self, postings: DataFrame, ids: np.ndarray, rows: np.ndarray, probes: list[np.ndarray] | None, k: int, pruning: str, epsilon: float = EPSILON, bound: np.ndarray | None = None) -> DataFrame:
         """Partial results of one block of queries, whose rows a partition meets cluster by cluster. Where several queries probe a
-        cluster its distances are one matrix product, unless pruning is approximate; a lone query prunes."""
-        by_cluster: dict[int, list[int]] = {}
-        for q, clusters in enumerate(probes):
-            for c in clusters.tolist():
-                by_cluster.setdefault(c, []).append(q)
+        cluster its distances are one matrix product, unless pruning is approximate; a lone query prunes. Without probes, each query
+        probes all clusters, which needs no list."""
+        clusters = starts = asked = None
+        if probes is not None:
+            flat = np.concatenate([*probes, np.zeros(0, np.int64)]).astype(np.int64)
+            order = np.argsort(flat, kind="stable")
+            asked = np.repeat(np.arange(len(probes), dtype=np.int32), [len(c) for c in probes])[order]
+            clusters, starts = np.unique(flat[order], return_index=True)
+            starts = np.append(starts, len(flat))
         quantizer = self.quantizer
         working = K.quantize(rows, quantizer.base, quantizer.scale).astype(np.float64) if quantizer else rows.astype(np.float64)
         rescale = 1 / quantizer.scale**2 if quantizer else 1.0
         column = "code" if quantizer else "embedding"
         d = self.num_dimensions
-        if len(by_cluster) <= PROBED_LITERALS and len(by_cluster) < len(self.centroid_arrays()[0]):
-            postings = postings.filter(F.col("cluster_id").isin(sorted(by_cluster)))
-        asked_of = {c: np.array(q) for c, q in by_cluster.items()}
+        if clusters is not None and len(clusters) <= PROBED_LITERALS and len(clusters) < len(self.centroid_arrays()[0]):
+            postings = postings.filter(F.col("cluster_id").isin(clusters.tolist()))
         # distances beyond a bound can't enter; rounding is allowed for
         limit = None if bound is None else bound / rescale * (1 + 1e-9) + 1e-12
-        sent = self.spark.sparkContext.broadcast((ids, working, asked_of, limit))
+        sent = self.spark.sparkContext.broadcast((ids, working, clusters, starts, asked, limit))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, working, asked_of, limit = sent.value
+            ids, working, probed, first, queries, limit = sent.value
             top = K.TopK(len(ids), k, bound=limit)
-            nobody = np.zeros(0, np.int64)
+            everybody, nobody = np.arange(len(ids)), np.zeros(0, np.int64)
+
+            def asking(cluster: int) -> np.ndarray:
+                if probed is None:
+                    return everybody
+                at = np.searchsorted(probed, cluster)
+                return queries[first[at] : first[at + 1]] if at < len(probed) and probed[at] == cluster else nobody
+
             for b in batches:
                 if not b.num_rows:
                     continue
@@ -280,12 +294,12 @@ class VectorIndex:
                 starts = np.flatnonzero(np.concatenate([[True], np.diff(clusters[order]) != 0]))
                 for at, to in zip(starts, [*starts[1:], len(order)], strict=True):
                     own = order[at:to]
-                    asked = asked_of.get(int(clusters[own[0]]), nobody)
+                    asked = asking(int(clusters[own[0]]))
                     if not len(asked):
                         continue
                     block = data[own]
                     if pruning != "adsampling" and (pruning == "none" or len(asked) > 1):
-                        top.offer_block(working[asked], vec_ids[own], block, "l2sq", asked)
+                        top.offer_block(working if probed is None else working[asked], vec_ids[own], block, "l2sq", asked)
                         continue
                     for q in asked.tolist():
                         places, distances, _ = K.pruned_l2sq(working[q], block, top.worst(q), pruning, epsilon)

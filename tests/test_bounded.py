@@ -54,3 +54,18 @@ def test_range_search_of_many_queries_takes_little_memory(spark, monkeypatch):
     got = {(q, v) for b in got for q, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
     far = K.pairwise(rows[:2500], rows, "l2sq")
     assert got == {(3 * q, v) for q, v in zip(*map(np.ndarray.tolist, np.nonzero(far < 0.05)), strict=True)}
+
+
+def test_a_search_of_all_clusters_sends_no_list_of_them(spark, monkeypatch):
+    v = S.random_vectors(spark, 600, 4, seed=5)
+    index = I.build(v, IndexConfig(num_dimensions=4, num_clusters=60, rotation="none", normalize=False))
+    sent, send = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, x: sent.append(len(pickle.dumps(x))) or send(self, x))
+    asked = asked_of(v, 1)
+    got = found(index.search(asked, 3, 0))
+    assert max(sent) < 60_000
+    sent.clear()
+    index.search(asked, 3, 59)
+    assert max(sent) < 300_000
+    monkeypatch.undo()
+    assert got == found(exact.knn(asked, v, 3)) == found(index.search(asked, 3, 0, seed=True))
