@@ -153,6 +153,43 @@ def pruned_l2sq(query: np.ndarray, rows: np.ndarray, threshold: float, pruning:
     return places, partial, read
 
 
+def components_read(queries: np.ndarray, thresholds: np.ndarray, rows: np.ndarray, pruning: str, epsilon: float = EPSILON) -> int:
+    """What pruned_l2sq() reads for all queries together. Partial sums are matrix products, of as many queries at once as give
+    BLOCK_BYTES; where rounding can't tell whether a row is within the threshold, its sum is made by subtraction."""
+    n, d = rows.shape
+    if pruning == "none" or not n:
+        return len(queries) * rows.size
+    finite = np.isfinite(thresholds)
+    read = int((~finite).sum()) * rows.size
+    queries, thresholds, x = queries[finite].astype(np.float64), thresholds[finite], rows.astype(np.float64)
+    most = (x * x).sum(axis=1).max()
+    size = max(1, BLOCK_BYTES // (8 * n))
+    for start in range(0, len(queries), size):
+        q, threshold = queries[start : start + size], thresholds[start : start + size]
+        slack = 1e-12 * ((q * q).sum(axis=1) + most)
+        work = [(np.arange(len(q)), 0, 0, np.zeros((len(q), n)), np.ones((len(q), n), bool))]
+        while work:
+            group, at, step, partial, alive = work.pop()
+            left = alive.sum(axis=1)
+            many = left > WARMUP_SHARE * n
+            for part, wide in ((many, WARMUP_STEPS[min(step, len(WARMUP_STEPS) - 1)]), (~many & (left > 0), GROUP)):
+                if not part.any():
+                    continue
+                to, own = min(d, at + wide), group[part]
+                read += int(left[part].sum()) * (to - at)
+                if to == d:
+                    continue
+                sums = partial[part] + pairwise(q[own, at:to], x[:, at:to], "l2sq")
+                limit = threshold[own] * (prune_ratio(to, d, epsilon) if pruning == "adsampling" else 1.0)
+                keep = sums <= limit[:, None]
+                unsure = (np.abs(sums - limit[:, None]) <= slack[own][:, None]) & alive[part]
+                for i, j in zip(*np.nonzero(unsure), strict=True):
+                    diff = rows[j, :to].astype(np.float64) - q[own[i], :to]
+                    keep[i, j] = (diff * diff).sum() <= limit[i]
+                work.append((own, to, step + 1, sums, keep & alive[part]))
+    return read
+
+
 def rotation_matrix(dimensions: int, seed: int) -> np.ndarray:
     """A random orthogonal matrix, the same for the same seed."""
     q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(dimensions, dimensions)))

@@ -651,9 +651,8 @@ def pruning_reads(spark, d):
             for b in batches:
                 rows = kernels.matrix(b.column(0), 3 * DIMS)
                 size += rows.size * len(sent.value)
-                for q in sent.value:
-                    for x in kinds:
-                        read[x] += kernels.pruned_l2sq(q[:-1], rows, float(q[-1]), x)[2]
+                for x in kinds:
+                    read[x] += kernels.components_read(sent.value[:, :-1], sent.value[:, -1], rows, x)
             yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array([read[x] for x in kinds], pa.int64()), pa.array([size] * len(kinds), pa.int64())], names=["pruning", "read", "size"])
 
         out = out.union(wide.select("embedding").mapInArrow(run, "pruning string, read long, size long"))

@@ -69,3 +69,15 @@ def test_a_search_of_all_clusters_sends_no_list_of_them(spark, monkeypatch):
     assert max(sent) < 300_000
     monkeypatch.undo()
     assert got == found(exact.knn(asked, v, 3)) == found(index.search(asked, 3, 0, seed=True))
+
+
+@pytest.mark.parametrize("pruning", ["none", "exact", "adsampling"])
+def test_components_read_of_many_queries(pruning):
+    rng = np.random.default_rng(2)
+    rows = rng.normal(size=(500, 192)).astype(np.float32)
+    rows[:100] *= 0.05
+    rows[100:120] = rows[0]
+    q = rows[::20].astype(np.float64)
+    t = np.array([np.sort(((rows - x) ** 2).sum(axis=1))[9] for x in q])
+    t[3] = np.inf
+    assert K.components_read(q, t, rows, pruning) == sum(K.pruned_l2sq(x, rows, float(y), pruning)[2] for x, y in zip(q, t, strict=True))
