@@ -78,16 +78,59 @@ def valid(embedding: Column, dimensions: int) -> Column:
     return embedding.isNotNull() & (F.size(embedding) == dimensions) & ~F.exists(embedding, lambda x: x.isNull() | F.isnan(x))
 
 
+#: Vectors of up to so many components are compared in compiled code, component by component; longer code isn't compiled.
+UNROLLED = 64
+
+
+def _sum_text(terms: list[str]) -> str:
+    """A sum in pairs, so that additions needn't wait for each other."""
+    while len(terms) > 1:
+        terms = [f"({' + '.join(terms[i : i + 2])})" for i in range(0, len(terms), 2)]
+    return terms[0]
+
+
+def _norm_text(v: str) -> str:
+    return f"sqrt(aggregate(transform({v}, x -> CAST(x AS DOUBLE) * x), 0D, (t, x) -> t + x))"
+
+
+def distance_text(metric: str, a: str, b: str) -> str:
+    """SQL of a distance of two arrays."""
+    total = f"aggregate(zip_with({a}, {b}, (x, y) -> %s), 0D, (t, x) -> t + x)"
+    if metric == "cosine":
+        scale = f"({_norm_text(a)} * {_norm_text(b)})"
+        return f"CASE WHEN {scale} = 0 THEN 1D ELSE greatest(0D, 1 - {distance_text('ip', a, b)} / {scale}) END"
+    one = {"l2sq": "(CAST(x AS DOUBLE) - y) * (CAST(x AS DOUBLE) - y)", "ip": "CAST(x AS DOUBLE) * y", "l1": "abs(CAST(x AS DOUBLE) - y)"}
+    return total % one[metric]
+
+
+def parts_text(embedding: str, name: str, width: int) -> list[str]:
+    """SQL columns of a vector for key_text(): its components (NaN where there is none) and its length."""
+    parts = [f"coalesce(CAST(get({embedding}, {i}) AS DOUBLE), double('NaN'))" for i in range(width if width <= UNROLLED else 0)]
+    if parts:
+        parts[0] = f"CASE WHEN size({embedding}) > {width} THEN raise_error('vectors must have {width} components') ELSE {parts[0]} END"
+    return [*(f"{x} AS {name}{i}" for i, x in enumerate(parts)), f"coalesce({_norm_text(embedding)}, double('NaN')) AS {name}_norm"]
+
+
+def key_text(metric: str, width: int) -> tuple[str, str]:
+    """SQL of a key that is less for what is nearer, from parts_text() of q and e: the least and the most that it can be, as sums
+    here are in another order than those of distance_text(). Beyond UNROLLED components from the arrays query and embedding."""
+    if 0 < width <= UNROLLED:
+        one = "abs(q{0} - e{0})" if metric == "l1" else "q{0} * e{0}"
+        total = _sum_text([one.format(i) for i in range(width)])
+    else:
+        total = distance_text("l1" if metric == "l1" else "ip", "query", "embedding")
+    if metric == "cosine":
+        key, slack = f"CASE WHEN q_norm * e_norm = 0 THEN 1D ELSE greatest(0D, 1 - {total} / (q_norm * e_norm)) END", "1e-12"
+    elif metric == "l2sq":
+        squares = "(q_norm * q_norm + e_norm * e_norm)"
+        key, slack = f"{squares} - 2 * {total}", f"{squares} * 1e-12"
+    else:
+        key, slack = (f"0 - {total}", "q_norm * e_norm * 1e-12") if metric == "ip" else (total, "(q_norm + e_norm) * 1e-11")
+    return f"({key} - {slack})", f"({key} + {slack})"
+
+
 def register(spark: SparkSession) -> None:
     """SQL functions l2sq(a, b), ip(a, b), l1(a, b), cosine_distance(a, b), as session SQL functions over built-ins."""
-    pair = "zip_with(a, b, (x, y) -> %s)"
-    total = "aggregate(%s, 0D, (t, x) -> t + x)"
-    bodies = {
-        "l2sq": total % (pair % "(CAST(x AS DOUBLE) - y) * (CAST(x AS DOUBLE) - y)"),
-        "ip": total % (pair % "CAST(x AS DOUBLE) * y"),
-        "l1": total % (pair % "abs(CAST(x AS DOUBLE) - y)"),
-    }
-    size = lambda v: f"sqrt({total % f'transform({v}, x -> CAST(x AS DOUBLE) * x)'})"
-    bodies["cosine_distance"] = f"CASE WHEN {size('a')} * {size('b')} = 0 THEN 1D ELSE greatest(0D, 1 - {bodies['ip']} / ({size('a')} * {size('b')})) END"
-    for name, body in bodies.items():
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN {body}")
+    for metric in DISTANCES:
+        name = {"cosine": "cosine_distance"}.get(metric, metric)
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN {distance_text(metric, 'a', 'b')}")

@@ -21,6 +21,9 @@ from nearfield.functions import kernels as K
 QUERY_BLOCK_BYTES = 32 << 20
 PARTIAL = "query_id long, vec_id long, distance double"
 METRICS = ("l2sq", "cosine", "ip", "l1")
+BOUND_SHARE = 4
+#: The greatest of the least keys of {0} buckets, or no bound where a bucket is empty.
+_BOUND = "CASE WHEN count(*) = {0} THEN max(m) ELSE double('Infinity') END"
 
 
 def _check(k: int, metric: str) -> None:
@@ -88,6 +91,17 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2sq", wh
     return top_k(reduce(DataFrame.union, parts), k, metric == "ip")
 
 
+def _limits(vectors: DataFrame, k: int) -> tuple[int, int]:
+    """(width of the vectors, share): each share-th vector bounds a search, or all where they are few."""
+    width, rows = vectors.agg(F.max(F.size("embedding")), F.count(F.lit(1))).first()
+    return width or 0, max(1, min(BOUND_SHARE, rows // (32 * k)))
+
+
+def _dealt(spark: SparkSession) -> int:
+    """Parts to deal vectors over that are compared with many queries; the files may have few."""
+    return 4 * max(1, spark.sparkContext.defaultParallelism)
+
+
 def knn_sql(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2sq", where: Column | None = None) -> DataFrame:
     """knn() as a nested-loop join with built-in functions; the query side is broadcast where it is small."""
     _check(k, metric)
@@ -99,17 +113,29 @@ def knn_sql(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2sq"
 
 def register_knn(spark: SparkSession, name: str, view: str, k: int, metric: str = "l2sq") -> None:
     """A table function for SQL: name(query) gives rank, vec_id, distance of the k nearest of view(vec_id, embedding), also as
-    `FROM queries q, LATERAL name(q.embedding)`. Distances of all pairs are shuffled there, once for each distinct query, so
-    it is for few queries; knn_view() is for many."""
+    `FROM queries q, LATERAL name(q.embedding)`: the distinct queries are broadcast.
+
+    Pairs are neither sorted nor shuffled: a share of the vectors is dealt over k buckets, and the greatest of the buckets' least
+    distances is one that k vectors don't exceed; of all pairs those within it are ranked. The width of the vectors is that of
+    the view now; a vector whose distance is null or NaN is no neighbour."""
     _check(k, metric)
     D.register(spark)
-    function = {"cosine": "cosine_distance"}.get(metric, metric)
+    vectors = spark.table(view)
+    width, share = _limits(vectors, k)
+    least, most = D.key_text(metric, width)
+    # a string, as arrays of numbers are costly keys, and a query is the key of its pairs
+    q = f"SELECT *, {', '.join(D.parts_text('query', 'q', width))} FROM (SELECT from_json(code, 'ARRAY<DOUBLE>') AS query)"
+    v = f"SELECT *, {', '.join(D.parts_text('embedding', 'e', width))} FROM (SELECT /*+ REPARTITION({_dealt(spark)}) */ CAST(vec_id AS BIGINT) AS vec_id, embedding FROM {view})"
+    some = f"SELECT *, pmod(xxhash64(vec_id) div {share}, {k}) AS bucket FROM ({v}) WHERE pmod(xxhash64(vec_id), {share}) = 0"
+    near = f"SELECT /*+ BROADCAST(q) */ min({most}) AS m FROM ({q}) q CROSS JOIN ({some}) v GROUP BY bucket"
+    asked = f"SELECT * FROM ({q}) CROSS JOIN (SELECT {_BOUND.format(k)} AS bound FROM ({near}))"
+    pairs = f"SELECT /*+ BROADCAST(q) */ vec_id, {D.distance_text(metric, 'query', 'embedding')} AS distance FROM ({asked}) q CROSS JOIN ({v}) v WHERE {least} <= bound"
     order = "distance DESC" if metric == "ip" else "distance"
-    pairs = f"SELECT CAST(vec_id AS BIGINT) AS vec_id, {function}(query, embedding) AS distance FROM {view}"
-    ranked = f"SELECT *, row_number() OVER (ORDER BY {order}, vec_id) AS rank FROM ({pairs})"
+    ranked = f"SELECT *, row_number() OVER (ORDER BY {order}, vec_id) AS rank FROM ({pairs}) WHERE distance <= double('Infinity')"
+    found = f"SELECT rank, vec_id, distance FROM ({ranked}) WHERE rank <= {int(k)}"
     spark.sql(
         f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(query ARRAY<DOUBLE>) RETURNS TABLE(rank INT, vec_id BIGINT, distance DOUBLE) "
-        f"RETURN SELECT rank, vec_id, distance FROM ({ranked}) WHERE rank <= {int(k)}"
+        f"RETURN SELECT n.rank, n.vec_id, n.distance FROM (SELECT CAST(query AS STRING) AS code) c, LATERAL ({found}) n"
     )
 
 

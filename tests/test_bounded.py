@@ -71,6 +71,17 @@ def test_a_search_of_all_clusters_sends_no_list_of_them(spark, monkeypatch):
     assert got == found(exact.knn(asked, v, 3)) == found(index.search(asked, 3, 0, seed=True))
 
 
+@pytest.mark.parametrize("metric", exact.METRICS)
+def test_lateral_search_ranks_only_pairs_within_a_bound(spark, metric):
+    v = S.random_vectors(spark, 900, 5, seed=3).withColumn("embedding", F.when(F.col("vec_id") % 9 == 0, F.array(*[F.lit(0.5).cast("float")] * 5)).otherwise(F.col("embedding")))
+    v.createOrReplaceTempView("bounded_vectors")
+    asked_of(v).createOrReplaceTempView("bounded_asked")
+    exact.register_knn(spark, "bounded_knn", "bounded_vectors", 4, metric)
+    lateral = spark.sql("SELECT q.query_id, n.* FROM bounded_asked q, LATERAL bounded_knn(CAST(q.embedding AS ARRAY<DOUBLE>)) n")
+    assert "bound" in lateral._jdf.queryExecution().optimizedPlan().toString()
+    assert found(lateral) == found(exact.knn(asked_of(v), v, 4, metric))
+
+
 @pytest.mark.parametrize("pruning", ["none", "exact", "adsampling"])
 def test_components_read_of_many_queries(pruning):
     rng = np.random.default_rng(2)
