@@ -148,6 +148,29 @@ def test_connected_components(spark):
     assert cc.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_few_edges_need_no_rounds(spark, monkeypatch):
+    rng = random.Random(5)
+    pairs = [(rng.randrange(500), rng.randrange(500)) for _ in range(300)] + [(k + 1, k) for k in range(900, 999)] + [(2000 - k, 3000 + k) for k in range(50)] + [(2000 - k, 3001 + k) for k in range(50)]
+    edges = spark.createDataFrame([e for e in pairs if e[0] != e[1]], "a long, b long")
+    written, cut = [], cc.cut
+    monkeypatch.setattr(cc, "cut", lambda df, what: written.append(what) or cut(df, what))
+    got = {r["node"]: r["label"] for r in cc.components(edges).collect()}
+    assert not written
+    monkeypatch.setattr(cc, "MOST_LOCAL", 0)
+    assert got == {r["node"]: r["label"] for r in cc.components(edges).collect()}
+    assert "stars" in written
+
+
+def test_buckets_of_all_depths_are_compared_in_one_pass(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{j}" for j in range(40)) + f" own{i}" * (i % 3)) for i in range(30)] + [(100 + i, f"the same start of all {i} {i * i} {i % 7} end") for i in range(30)]
+    expected = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs(spark, rows), 3, 85).collect()}
+    calls, pairs = [], near_dedup._pairs
+    monkeypatch.setattr(near_dedup, "_pairs", lambda *a: calls.append(a) or pairs(*a))
+    monkeypatch.setattr(near_dedup, "MOST_BUCKET", 2)
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs(spark, rows), 3, 85).collect()} == expected
+    assert len(calls) == 1
+
+
 def brute_hits(rows, items):
     lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
