@@ -5,6 +5,8 @@ They run inside Catalyst as higher-order functions: readable, and the check on t
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,6 +131,39 @@ def key_text(metric: str, width: int) -> tuple[str, str]:
     return f"({key} - {slack})", f"({key} + {slack})"
 
 
+#: Bits of a field of a packed code.
+FIELD = 21
+
+
+def most_code(width: int) -> int:
+    return math.isqrt(((1 << FIELD) - 1) // (3 * -(-width // 3)))
+
+
+def packed_text(embedding: str, width: int, low: float, step: float, turned: bool) -> tuple[str, list[str]]:
+    """SQL of a vector's codes, (x - low) / step in whole numbers from 0 to a most, and SQL columns over `codes`: three codes to a
+    long, the sum of their squares, and how far the vector is from its codes, in steps and rounded up.
+
+    The product of a long and one that is `turned` has the sum of the three products of codes in its third field; the most code is
+    such that no field of a sum of such products overflows. What is beyond the third field is lost, as longs wrap around."""
+    longs, most = -(-width // 3), most_code(width)
+    place = f"((CAST(x AS DOUBLE) - ({low!r}D)) / {step!r}D)"
+    codes = f"transform({embedding}, x -> CAST(greatest(0D, least({most}D, rint({place}))) AS BIGINT))"
+    code = [f"coalesce(get(codes, {i}), 0L)" for i in range(3 * longs)]
+    columns = []
+    for i in range(0, 3 * longs, 3):
+        one, two, three = reversed(code[i : i + 3]) if turned else code[i : i + 3]
+        columns.append(f"{one} + shiftleft({two}, {FIELD}) + shiftleft({three}, {2 * FIELD})")
+    squares = "aggregate(codes, 0L, (t, c) -> t + c * c)"
+    off = f"1e-6D + 1.000001D * sqrt(aggregate(zip_with({embedding}, codes, (x, c) -> ({place} - c) * ({place} - c)), 0D, (t, y) -> t + y))"
+    return codes, [*columns, f"coalesce({squares}, 0L)", f"coalesce({off}, double('Infinity'))"]
+
+
+def packed_l2sq_text(width: int) -> str:
+    """SQL of the squared L2 of codes, in steps, from columns q0.., q_squares and e0.., e_squares; longs must wrap around."""
+    total = _sum_text([f"q{i} * e{i}" for i in range(-(-width // 3))])
+    return f"(q_squares + e_squares - 2L * (shiftrightunsigned({total}, {2 * FIELD}) & {(1 << FIELD) - 1}L))"
+
+
 def register(spark: SparkSession) -> None:
     """SQL functions l2sq(a, b), ip(a, b), l1(a, b), cosine_distance(a, b), as session SQL functions over built-ins."""
     for metric in DISTANCES:

@@ -2,7 +2,7 @@
 
 knn() is the fast path: queries are taken in blocks of a fixed number of bytes, each block is broadcast, every partition of
 the vectors is scanned once a block with one matrix product an Arrow batch, and at most k rows a query leave a partition.
-knn_sql() is the same in built-in functions. Ties are broken by vec_id; ranks start at 1.
+knn_sql() is the same in built-in functions, by packed codes first. Ties are broken by vec_id; ranks start at 1.
 """
 
 from __future__ import annotations
@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 
 from nearfield.functions import distance as D
 from nearfield.functions import kernels as K
+from nearfield.plans.scratch import setting
 
 QUERY_BLOCK_BYTES = 32 << 20
 PARTIAL = "query_id long, vec_id long, distance double"
 METRICS = ("l2sq", "cosine", "ip", "l1")
-BOUND_SHARE = 4
+BOUND_SHARE, SQL_BOUND_SHARE = 4, 16
 #: The greatest of the least keys of {0} buckets, or no bound where a bucket is empty.
 _BOUND = "CASE WHEN count(*) = {0} THEN max(m) ELSE double('Infinity') END"
 
@@ -61,7 +62,7 @@ def partial_batches(ids: np.ndarray, top: K.TopK) -> pa.RecordBatch:
 
 def top_k(partial: DataFrame, k: int, descending: bool = False) -> DataFrame:
     """The k best of each query with their rank: a window that Spark limits before its shuffle."""
-    order = F.desc("distance") if descending else F.asc("distance")
+    order = F.desc("distance") if descending else F.asc_nulls_last("distance")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(order, "vec_id"))
     return partial.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
 
@@ -102,13 +103,75 @@ def _dealt(spark: SparkSession) -> int:
     return 4 * max(1, spark.sparkContext.defaultParallelism)
 
 
+def _plain_pairs(queries: DataFrame, vectors: DataFrame, metric: str) -> DataFrame:
+    pairs = vectors.select("vec_id", F.col("embedding").alias("_v")).join(queries.select("query_id", F.col("embedding").alias("_q")))
+    return pairs.select("query_id", "vec_id", D.DISTANCES[metric](F.col("_q"), F.col("_v")).alias("distance"))
+
+
+def _near_pairs(queries: DataFrame, vectors: DataFrame, k: int, width: int, share: int, low: float, step: float) -> DataFrame:
+    """The pairs of ordinary vectors with their squared L2, without those that are surely not among a query's k.
+
+    All pairs are compared as packed codes, in one short compiled loop. Each share-th vector is dealt over k buckets; the greatest of
+    the buckets' least distances is one that k vectors don't exceed. A distance differs from that of codes by how far the two vectors
+    are from theirs at most, so no neighbour is lost whatever `low` and `step` are."""
+    spark = queries.sparkSession
+    parts = _dealt(spark)
+
+    def coded(df: DataFrame, key: str, side: str) -> DataFrame:
+        codes, columns = D.packed_text(side, width, low, step, side == "q")
+        names = [*(f"{side}{i}" for i in range(len(columns) - 2)), f"{side}_squares", f"{side}_off"]
+        df = df.selectExpr(key, f"embedding AS {side}").selectExpr("*", f"{codes} AS codes")
+        return df.selectExpr(key, side, *(f"{c} AS {n}" for c, n in zip(columns, names, strict=True)))
+
+    every = coded(vectors.repartition(parts), "vec_id", "e")
+    some = coded(vectors.filter(F.pmod(F.xxhash64("vec_id"), F.lit(share)) == 0).repartition(parts), "vec_id", "e")
+    some = some.withColumn("bucket", F.expr(f"pmod(xxhash64(vec_id) div {share}, {k})"))
+    blocks = max(1, -(-queries.count() * 8 * width // QUERY_BLOCK_BYTES))
+    made = []
+    far = D.packed_l2sq_text(width)
+    # what overflows is meant to: see packed_text(); an expression keeps the mode in which it was made
+    with setting(spark, "spark.sql.ansi.enabled", "false"):
+        for i in range(blocks):
+            block = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else queries
+            asked = coded(block, "query_id", "q")
+            near = some.join(F.broadcast(asked)).groupBy("query_id", "bucket").agg(F.expr(f"min(sqrt({far}) + e_off)").alias("m"))
+            bounds = near.groupBy(F.col("query_id").alias("_id")).agg(F.expr(_BOUND.format(k)).alias("bound"))
+            asked = asked.join(bounds, F.col("query_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+            asked = asked.selectExpr("*", "coalesce(bound, double('Infinity')) + 2 * q_off AS reach")
+            pairs = every.join(F.broadcast(asked), F.expr(f"{far} <= (reach + e_off) * (reach + e_off)"))
+            made.append(pairs.select("query_id", "vec_id", D.l2sq(F.col("q"), F.col("e")).alias("distance")))
+    return reduce(DataFrame.union, made)
+
+
 def knn_sql(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2sq", where: Column | None = None) -> DataFrame:
-    """knn() as a nested-loop join with built-in functions; the query side is broadcast where it is small."""
+    """knn() as a nested-loop join with built-in functions. For l2sq, queries are broadcast in blocks, all pairs are compared as codes,
+    and distances are computed and ranked of those within a bound: work grows with queries times vectors, memory and shuffles don't.
+    Vectors with null, NaN or huge components, of another width than the widest or of over D.UNROLLED components, and other
+    metrics are compared pair by pair."""
     _check(k, metric)
     if where is not None:
         vectors = vectors.filter(where)
-    pairs = vectors.select("vec_id", F.col("embedding").alias("_v")).join(queries.select("query_id", F.col("embedding").alias("_q")))
-    return top_k(pairs.select("query_id", "vec_id", D.DISTANCES[metric](F.col("_q"), F.col("_v")).alias("distance")), k, metric == "ip")
+    queries, vectors = queries.select("query_id", "embedding"), vectors.select("vec_id", "embedding")
+    if metric != "l2sq":
+        return top_k(_plain_pairs(queries, vectors, metric), k, metric == "ip")
+    good = ~F.exists("embedding", lambda x: ~F.coalesce(F.abs(x.cast("double")) < 1e100, F.lit(False)))
+    total = lambda f: F.sum(F.when(good, F.aggregate("embedding", F.lit(0.0), lambda t, x: t + f(x.cast("double")))))
+    facts = [F.max(F.size("embedding")), F.min(F.coalesce(F.size("embedding"), F.lit(-1))), F.min(F.coalesce(good, F.lit(False)))]
+    asked_width, asked_least, asked_good = queries.agg(*facts).first()
+    width, least, all_good, rows, sum_of, squares = vectors.agg(*facts, F.count(F.lit(1)), total(lambda x: x), total(lambda x: x * x)).first()
+    width = max(width or 0, asked_width or 0)
+    if not 0 < width <= D.UNROLLED:
+        return top_k(_plain_pairs(queries, vectors, metric), k)
+    mean = (sum_of or 0.0) / (rows * width or 1)
+    spread = max(0.0, (squares or 0.0) / (rows * width or 1) - mean * mean) ** 0.5
+    # the codes span the mean and four deviations on either side
+    known = width, max(1, min(SQL_BOUND_SHARE, rows // (32 * k))), mean - 4 * spread, 8 * spread / D.most_code(width) or 1.0
+    if all_good and asked_good and least == asked_least == width:
+        return top_k(_near_pairs(queries, vectors, k, *known), k)
+    good = F.coalesce((F.size("embedding") == width) & good, F.lit(False))
+    pairs = _near_pairs(queries.filter(good), vectors.filter(good), k, *known)
+    pairs = pairs.union(_plain_pairs(queries.filter(good), vectors.filter(~good), metric)).union(_plain_pairs(queries.filter(~good), vectors, metric))
+    return top_k(pairs, k)
 
 
 def register_knn(spark: SparkSession, name: str, view: str, k: int, metric: str = "l2sq") -> None:

@@ -39,14 +39,19 @@ def scratch_path(spark: SparkSession, what: str) -> str:
 
 
 @contextlib.contextmanager
-def shuffles_end(spark: SparkSession) -> Iterator[None]:
-    """Within it, the shuffle files of a query go when the query has ended."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """Within it, a setting of the session has this value."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def shuffles_end(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """Within it, the shuffle files of a query go when the query has ended."""
+    return setting(spark, CLEANUP, "true")
 
 
 def cut(df: DataFrame, what: str) -> DataFrame:

@@ -82,6 +82,39 @@ def test_lateral_search_ranks_only_pairs_within_a_bound(spark, metric):
     assert found(lateral) == found(exact.knn(asked_of(v), v, 4, metric))
 
 
+@pytest.mark.parametrize("low, step", [(-4.0, 8.0 / 178), (0.0, 1.0 / 178), (0.4, 1e-3), (-1e6, 1.0)])
+def test_built_in_search_loses_no_neighbour_whatever_the_codes(spark, low, step):
+    rng = np.random.default_rng(4)
+    rows = rng.normal(size=(1200, 64)).astype(np.float32)
+    rows[::7] = rng.integers(0, 2, size=(172, 64))
+    rows[::50] *= 1000
+    v = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(1200)), "embedding": K.lists(rows, pa.float32())}))
+    pairs = exact._near_pairs(asked_of(v), v, 5, 64, 3, low, step)
+    assert found(exact.top_k(pairs, 5)) == found(exact.knn(asked_of(v), v, 5))
+
+
+def test_built_in_search_ranks_only_pairs_within_a_bound(spark, monkeypatch):
+    v = S.random_vectors(spark, 3000, 20, seed=3).withColumn("embedding", F.when(F.col("vec_id") % 90 == 0, F.array(*[F.lit(0.5).cast("float")] * 20)).otherwise(F.col("embedding")))
+    expected, near, seen = found(exact.knn(asked_of(v), v, 4)), exact._near_pairs, []
+    monkeypatch.setattr(exact, "_near_pairs", lambda *a: seen.append(near(*a)) or seen[-1])
+    assert found(exact.knn_sql(asked_of(v), v, 4)) == expected
+    assert seen[0].count() < 3000 * 75 // 5
+    monkeypatch.setattr(exact, "QUERY_BLOCK_BYTES", 30 * 8 * 20)
+    assert found(exact.knn_sql(asked_of(v), v, 4)) == expected
+
+
+@pytest.mark.parametrize("few", [False, True])
+def test_built_in_search_of_odd_vectors(spark, few):
+    rows = np.random.default_rng(6).normal(size=(400, 3)).tolist()
+    odd = [None, [], [1.0, None, 2.0], [1.0, float("nan"), 2.0], [float("inf"), 0.0, 0.0], [1e200, 0.0, 0.0], [1.0, 2.0]]
+    v = spark.createDataFrame([*enumerate(rows[:2] if few else rows), *((1000 + i, x) for i, x in enumerate(odd))], "vec_id long, embedding array<double>")
+    q = v.filter("vec_id % 40 = 0 OR vec_id > 1000").select(F.col("vec_id").alias("query_id"), "embedding")
+    got, expected = exact.knn_sql(q, v, 5), exact.top_k(exact._plain_pairs(q, v, "l2sq"), 5)
+    assert [str(r) for r in got.orderBy("query_id", "rank").collect()] == [str(r) for r in expected.orderBy("query_id", "rank").collect()]
+    assert got.filter("query_id = 0 AND rank <= 2 AND distance IS NULL").count() == 0
+    assert exact.knn_sql(q, v.limit(0), 5).count() == exact.knn_sql(q.limit(0), v, 5).count() == 0
+
+
 @pytest.mark.parametrize("pruning", ["none", "exact", "adsampling"])
 def test_components_read_of_many_queries(pruning):
     rng = np.random.default_rng(2)
