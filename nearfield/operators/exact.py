@@ -7,6 +7,7 @@ knn_sql() is the same in built-in functions, by packed codes first. Ties are bro
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -22,7 +23,7 @@ from nearfield.plans.scratch import setting
 QUERY_BLOCK_BYTES = 32 << 20
 PARTIAL = "query_id long, vec_id long, distance double"
 METRICS = ("l2sq", "cosine", "ip", "l1")
-BOUND_SHARE, SQL_BOUND_SHARE = 4, 16
+BOUND_SHARE = 4
 #: The greatest of the least keys of {0} buckets, or no bound where a bucket is empty.
 _BOUND = "CASE WHEN count(*) = {0} THEN max(m) ELSE double('Infinity') END"
 
@@ -164,8 +165,10 @@ def knn_sql(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2sq"
         return top_k(_plain_pairs(queries, vectors, metric), k)
     mean = (sum_of or 0.0) / (rows * width or 1)
     spread = max(0.0, (squares or 0.0) / (rows * width or 1) - mean * mean) ** 0.5
+    # vectors for the bound, and pairs within it, are about the root of rows * k for each query
+    share = max(1, math.isqrt(rows // (50 * k)))
     # the codes span the mean and four deviations on either side
-    known = width, max(1, min(SQL_BOUND_SHARE, rows // (32 * k))), mean - 4 * spread, 8 * spread / D.most_code(width) or 1.0
+    known = width, share, mean - 4 * spread, 8 * spread / D.most_code(width) or 1.0
     if all_good and asked_good and least == asked_least == width:
         return top_k(_near_pairs(queries, vectors, k, *known), k)
     good = F.coalesce((F.size("embedding") == width) & good, F.lit(False))
